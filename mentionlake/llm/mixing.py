@@ -68,7 +68,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
     sized = materialise(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), order.alias("ord"))
-    ).withColumn("bucket", F.floor(F.conv(F.substring("ord", 1, 6), 16, 10).cast("int") * buckets / 16**6).cast("int"))
+    ).withColumn("bucket", F.floor(F.conv(F.substring("ord", 1, 6), 16, 10).cast("long") * buckets / 16**6).cast("int"))
     bucketed = materialise(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     # at most `buckets` rows a source
     before = bucketed.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))

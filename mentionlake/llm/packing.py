@@ -170,7 +170,11 @@ _ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ODD_PAIRS = np.zeros((256, 256), dtype=bool)
 for _a, _b in ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)):
     _ODD_PAIRS[_a, _b] = True
-_tokens = functools.cache(_Tokens)
+
+
+@functools.cache
+def _tokens(path: str) -> _Tokens:
+    return _Tokens(path)
 
 
 def _pieces(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
