@@ -105,11 +105,11 @@ WITH sized AS (
          (SELECT CAST(sum(source_size) AS BIGINT) FROM weighed) AS total, (SELECT CAST(sum(weight) AS BIGINT) FROM weighed) AS all_weight
   FROM weighed
 ), prefixed AS (
-  SELECT *, coalesce(CAST(sum(cap) OVER o AS BIGINT), 0) AS cap_before, coalesce(CAST(sum(weight) OVER o AS BIGINT), 0) AS weight_before
-  FROM stepped WINDOW o AS (ORDER BY own, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT *, row_number() OVER o AS k,
+         CAST(total - coalesce(CAST(sum(cap) OVER b AS BIGINT), 0) AS DOUBLE) / CAST(all_weight - coalesce(CAST(sum(weight) OVER b AS BIGINT), 0) AS DOUBLE) AS step
+  FROM stepped WINDOW o AS (ORDER BY own, source NULLS LAST), b AS (ORDER BY own, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), leveled AS (
-  SELECT min(CAST(total - cap_before AS DOUBLE) / CAST(all_weight - weight_before AS DOUBLE)) FILTER (own >= CAST(total - cap_before AS DOUBLE) / CAST(all_weight - weight_before AS DOUBLE)) AS level
-  FROM prefixed
+  SELECT coalesce(arg_min(step, k) FILTER (own >= step), 0) AS level FROM prefixed
 ), aimed AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * level) AS target,
          CASE WHEN source_size > 0 THEN CAST(floor(least(CAST(cap AS DOUBLE), weight * level) / source_size) AS BIGINT) ELSE 0 END AS whole
