@@ -20,7 +20,7 @@ def from_xml(infon) -> Column:
 
 
 def to_xml(infons) -> Column:
-    return F.transform(_c(infons), lambda x: F.struct(x["value"].alias("_VALUE"), x["key"].alias("_key")))
+    return F.transform(_c(infons), lambda x: F.struct(x["key"].alias("_key"), x["value"].alias("_VALUE")))
 
 
 def get(infons, key: str) -> Column:

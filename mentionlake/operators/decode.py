@@ -89,10 +89,10 @@ def overlapping(spans: DataFrame, sample: Sequence[str], start: str = "start", e
     A position-bucketed join: a span is filed under every bucket it touches, and a pair is reported
     where the later of the two starts, so that a sample with many spans isn't compared in full."""
     width = 64
-    a = spans.select(*sample, F.col(idx).alias("idx"), F.col(start).alias("s"), F.col(end).alias("e"))
-    a = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor((F.greatest("e", F.col("s") + 1) - 1) / width))))
-    b = a.select(*sample, F.col("idx").alias("other_idx"), F.col("s").alias("s2"), F.col("e").alias("e2"), "_b")
-    hit = a.join(b, [*sample, "_b"]).filter("idx < other_idx and s < e2 and s2 < e").filter(F.col("_b") == F.floor(F.greatest("s", "s2") / width))
+    a = spans.select(*sample, F.col(idx).alias("idx"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    a = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / width), F.floor((F.greatest("_e", F.col("_s") + 1) - 1) / width))))
+    b = a.select(*sample, F.col("idx").alias("other_idx"), F.col("_s").alias("_s2"), F.col("_e").alias("_e2"), "_b")
+    hit = a.join(b, [*sample, "_b"]).filter("idx < other_idx and _s < _e2 and _s2 < _e").filter(F.col("_b") == F.floor(F.greatest("_s", "_s2") / width))
     return hit.select(*sample, "idx", "other_idx")
 
 

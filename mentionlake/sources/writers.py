@@ -73,7 +73,7 @@ def with_contained(docs: DataFrame, entities: DataFrame) -> DataFrame:
     from mentionlake.operators.decode import contained
 
     p = bioc.passages(docs).select("source_path", "doc_idx", "document_id", "passage_id", "passage_offset", "text")
-    hit = contained(entities.withColumnRenamed("text", "e_text"), p.select("document_id", "passage_id", "passage_offset", "text"))
+    hit = contained(entities.select("document_id", "start", "end", "label", F.col("text").alias("e_text")), p.select("document_id", "passage_id", "passage_offset", "text"))
     hit = hit.join(p.select("source_path", "doc_idx", "document_id", "passage_id"), ["document_id", "passage_id"]).withColumnRenamed("e_text", "text")
     hit = filters.numbered(hit, ["source_path", "doc_idx", "passage_id", "start", "end", "label"], "_n")
     made = hit.select("source_path", "doc_idx", "passage_id", "_n", _annotation(F.col("_n") + 1, "T", F.array(F.struct(F.lit("type").alias("key"), F.col("label").alias("value")))).alias("a"))
