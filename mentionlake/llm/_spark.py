@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +38,32 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Rows in an Arrow batch of texts: texts may be long, and a batch is held whole on both sides.
+TEXT_BATCH = 1_000
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; idle Python workers would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def text_udf(spark: SparkSession, kind: str, work: Callable[[pa.Array], pa.Array], done: Callable[[], None] = trim):
+    """An Arrow function over one text column, in bounded batches; `done` runs at the end of a task.
+    The session's batch size is lowered to ``TEXT_BATCH`` where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
+        spark.conf.set(key, TEXT_BATCH)
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield work(part)
+        done()
+
+    return F.arrow_udf(run, kind)
 
 
 def with_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salt: str | None = None, salts: int = 32) -> DataFrame:

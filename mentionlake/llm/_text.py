@@ -38,7 +38,7 @@ def _power(base: int, n: int) -> np.ndarray:
         out = np.full(size, base, dtype=np.uint64)
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if size <= 4 * CHUNK:
+        if size <= 8 * CHUNK:
             _powers[base] = have
     return have[:n]
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionlake.llm import _text as X
-from mentionlake.llm._spark import materialise
+from mentionlake.llm._spark import materialise, text_udf, trim
 
 CAPACITY = 1024
 END = 2
@@ -38,9 +38,9 @@ GENERATIONS = 6
 POPULATION = 6
 SEED = 11
 #: Chunks whose ids one worker keeps; the table is emptied when it is full.
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 250_000
 #: Bytes of text whose new chunks are encoded in one call.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 #: Rows numbered by one task.
 NUMBERED = 100_000
 
@@ -192,7 +192,6 @@ def pieces(docs: DataFrame, path: str, text: str = "text", out: str = "pieces",
     """Adds the array column `out` with every piece of a document; null text is empty, so its only id is `end`."""
     tail = np.array([end], dtype="<u4")
 
-    @F.arrow_udf(PIECE)
     def cut(column: pa.Array) -> pa.Array:
         offsets, rows = [0], []
         for _, _, data, offs in X.chunks(column, TOGETHER):
@@ -202,7 +201,11 @@ def pieces(docs: DataFrame, path: str, text: str = "text", out: str = "pieces",
         flat = [pa.array([r[k] for r in rows], _PIECE.field(k).type) for k in range(4)]
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(flat, names=[f.name for f in _PIECE]))
 
-    return docs.withColumn(out, cut(F.col(text)))
+    def done() -> None:
+        _tokens(path).forget()
+        trim()
+
+    return docs.withColumn(out, text_udf(docs.sparkSession, PIECE, cut, done)(F.col(text)))
 
 
 # The grouping genetic algorithm over a histogram. A bin is a descending tuple of lengths.
@@ -370,10 +373,11 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
     marked = flat.withColumn("bucket", spread)
     counts = marked.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("before"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     numbered = marked.withColumn("number", F.row_number().over(order) - 1)
-    numbered = numbered.join(F.broadcast(before) if buckets <= 64 else before, "bucket").withColumn("number", F.col("number") + F.element_at("before", F.col("length")))
+    # both sides lie by length and bucket; the numbers are plain columns before rows go to Python
+    numbered = numbered.join(before, ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("before")).alias("number"))
 
     @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
     def place(length: pa.Array, number: pa.Array) -> pa.Array:
