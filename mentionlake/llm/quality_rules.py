@@ -1,8 +1,8 @@
 """Quality rules by repetition coverage.
 
 Rolling hashes of several word n-gram lengths, taken over whole texts in numpy, mark the words that
-stand inside n-grams which occur more than once in the same text; prefix sums turn the marks into
-code points. Equal lines are found by hashing whole lines. A text is kept when the share of its
+stand inside n-grams which occurred before in the same text; prefix sums turn the marks into
+code points. The first occurrence does not count, so one repeated line costs a text its length once. Equal lines are found by hashing whole lines. A text is kept when the share of its
 characters inside repeated n-grams stays at or below each length's limit, the share inside repeated
 lines below its own, and the basic counts hold.
 
@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionlake.llm import _text as X
+from mentionlake.llm._spark import text_udf
 
-#: Largest share of a text's word characters inside repeated n-grams of a length.
+#: Largest share of a text's word characters inside n-grams of a length that occurred before.
 GRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_LIMIT = 0.20
 SYMBOL_LIMIT = 0.10
@@ -37,18 +38,21 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _DOC_KEY = X.U64(0x8CB92BA72F3D8DD7)
 
 
-def _covered(keys: np.ndarray, n: int, words: X.Words) -> np.ndarray:
-    """Words inside windows of n words that occur at least twice in their text."""
+def _covered(keys: np.ndarray, n: int, words: X.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Words inside windows of n words that occur at least twice in their text: in all of them, and in all but the first."""
     m = len(words.doc)
-    inside = np.zeros(m + 1, dtype=np.int64)
+    inside, later = np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
     gram = X.grams(keys, n)
     if len(gram):
         whole = np.flatnonzero(words.doc[: len(gram)] == words.doc[n - 1 :])
         gram = gram[whole] ^ X.mix((words.doc[whole].astype(np.uint64) + X.U64(1)) * _DOC_KEY)
-        twice = whole[X.repeated(gram)]
-        inside[twice] += 1
-        inside[twice + n] -= 1
-    return np.cumsum(inside[:m]) > 0
+        i = np.flatnonzero(X.repeated(gram))
+        again = np.ones(len(i), dtype=bool)
+        again[np.unique(gram[i], return_index=True)[1]] = False
+        for marks, at in ((inside, whole[i]), (later, whole[i[again]])):
+            marks[at] += 1
+            marks[at + n] -= 1
+    return np.cumsum(inside[:m]) > 0, np.cumsum(later[:m]) > 0
 
 
 def _measure(data: np.ndarray, offs: np.ndarray, limits: dict[int, float], line_limit: float, symbol_limit: float, min_words: int) -> dict[str, np.ndarray]:
@@ -85,11 +89,11 @@ def _measure(data: np.ndarray, offs: np.ndarray, limits: dict[int, float], line_
     kept = np.ones(n, dtype=bool)
     coverage = np.zeros(n)
     for length in sorted({5, *limits}):
-        marked = _covered(keys, length, words)
+        marked, again = _covered(keys, length, words)
         if length == 5:
             out["n_repeat_words"] = X.per_doc(X.summed(marked), words.bounds)
         if length in limits:
-            share = X.per_doc(X.summed(chars * marked), words.bounds) / np.maximum(word_chars, 1)
+            share = X.per_doc(X.summed(chars * again), words.bounds) / np.maximum(word_chars, 1)
             coverage = np.maximum(coverage, share)
             kept &= share <= limits[length]
     out["gram_coverage"] = coverage
@@ -119,11 +123,10 @@ def quality_rules(
     """
     limits = dict(gram_limits)
 
-    @F.arrow_udf(SCHEMA)
     def measure(column: pa.Array) -> pa.Array:
         parts = [_measure(d, o, limits, line_limit, symbol_limit, min_words) for _, _, d, o in X.chunks(column)]
         if not parts:
             parts = [_measure(np.zeros(0, np.uint8), np.zeros(1, np.int64), limits, line_limit, symbol_limit, min_words)]
         return pa.StructArray.from_arrays([pa.array(np.concatenate([p[k] for p in parts]), _TYPES.get(k, pa.int64())) for k in _NAMES], names=_NAMES)
 
-    return docs.withColumn(out, measure(F.col(text)))
+    return docs.withColumn(out, text_udf(docs.sparkSession, SCHEMA, measure)(F.col(text)))

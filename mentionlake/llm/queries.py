@@ -123,4 +123,53 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM run
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_source_mixing": OP5_SQL}
+
+
+def _op2_sql() -> str:
+    """Windows of words as text, repeats by counting them per document, coverage by a running maximum."""
+    r = quality_rules
+    lengths = sorted({5, *r.GRAM_LIMITS})
+    leads = ", ".join(f"lead(w0, {k}) OVER o AS w{k}" for k in range(1, max(lengths)))
+    # words hold no space, so joined windows are exact; a window over the end is null
+    grams = ", ".join(" || ' ' || ".join(f"w{k}" for k in range(n)) + f" AS g{n}" for n in lengths)
+    twice = ", ".join(f"g{n} IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY i) > 1 AS t{n}" for n in lengths)
+    twice += ", g5 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g5) > 1 AS t0"
+    inside = ", ".join(f"max(CAST(t{n} AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS m{n}" for n in lengths)
+    inside += ", max(CAST(t0 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m0"
+    sums = ", ".join(f"CAST(sum(c * m{n}) AS DOUBLE) / greatest(sum(c), 1) AS s{n}" for n in lengths)
+    limits = " AND ".join(f"coalesce(s{n}, 0) <= CAST({x} AS DOUBLE)" for n, x in r.GRAM_LIMITS.items())
+    most = ", ".join(f"coalesce(s{n}, 0)" for n in r.GRAM_LIMITS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), u AS (
+  SELECT doc_id, unnest(w) AS w0, generate_subscripts(w, 1) AS i FROM d
+), v AS (
+  SELECT doc_id, i, w0, {leads} FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), g AS (
+  SELECT doc_id, i, length(w0) AS c, {grams} FROM v
+), t AS (
+  SELECT doc_id, i, c, {twice} FROM g
+), m AS (
+  SELECT doc_id, i, c, {inside} FROM t
+), per AS (
+  SELECT doc_id, CAST(sum(c) AS BIGINT) AS word_chars, CAST(sum(m0) AS BIGINT) AS n_repeat_words, {sums} FROM m GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d
+), again AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) AS nth FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (
+  SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS BIGINT) AS c FROM again WHERE nth > 1 GROUP BY doc_id
+), one AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup.c, 0) AS dup_line_chars, greatest({most}) AS gram_coverage,
+         len(w) < {r.MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {r.REPEAT_PERCENT} * len(w) AS base_failed, {limits} AS within
+  FROM d LEFT JOIN per USING (doc_id) LEFT JOIN dup USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, dup_line_chars, gram_coverage,
+       NOT base_failed AND within AND dup_line_chars <= CAST({r.LINE_LIMIT} AS DOUBLE) * word_chars AND n_symbols <= CAST({r.SYMBOL_LIMIT} AS DOUBLE) * greatest(word_chars, 1) AS kept
+FROM one
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _op2_sql(), "op5_source_mixing": OP5_SQL}
