@@ -10,8 +10,9 @@ group too large for that (it may hold a third of all bytes) is split by a second
 doc_ids. Rows equal in both are alike and are split by their number only if one key alone exceeds
 the tolerance.
 
-Slots come from the same counts: shards are cut into ranges of bounded size, a range starts at the
-rows counted before it, and rows are numbered inside their range, so that no task holds a shard.
+Slots come from counts too: shards are cut into ranges of bounded size, a range starts at the rows
+counted before it, and rows are numbered inside their range, so that no task holds a shard. Only rows
+alike in text and doc_id and beyond the tolerance are numbered together.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlake.llm._spark import materialise
+from mentionlake.llm._spark import materialise, with_small
 
 SHARDS = 8
 #: Largest distance of a splitter from its target, as a share of an even shard's bytes.
@@ -110,25 +111,33 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
             size = own.filter(F.col("_sub") == a).agg(F.max("size")).first()[0]
             cuts.append((lo, a, round((rest - under) / size)))
     tied = {(k, s) for k, s, n in cuts if n}
-    if tied:  # rows alike in key and doc_id, more of them than the tolerance allows: numbered in order of arrival
-        alike = reduce(lambda x, y: x | y, [(F.col("_key") == k) & (F.col("_sub") == s) for k, s in tied])
-        number = F.when(alike, F.row_number().over(Window.partitionBy("_key", "_sub").orderBy(F.lit(1))) - 1).otherwise(0)
-        work = work.filter(alike).withColumn("_nth", number).union(work.filter(~alike).withColumn("_nth", F.lit(0)))
-    else:
-        work = work.withColumn("_nth", F.lit(0))
-    here = F.struct("_key", "_sub", "_nth")
-    at = F.lit(0)
-    for k, s, n in sorted(cuts):
-        at = at + (here >= F.struct(F.lit(k).cast("long"), F.lit(s).cast("long"), F.lit(n))).cast("int")
-    # ranges of at most about RANGE_ROWS rows; a hot key is cut further by doc_id's hash only where it must
-    each = max(1, -(-(rows or 0) // RANGE_ROWS))
-    bits = max(1, (each - 1).bit_length() + 1)
-    work = work.withColumn("shard", at).withColumn("_range", F.shiftright("_key", 64 - bits)).withColumn("_fine", F.shiftright(F.xxhash64("_sub"), 64 - bits))
-    marks = work.groupBy("shard", "_range", "_fine").agg(F.count("*").alias("n"))
-    first = marks.withColumn("_first", F.sum("n").over(Window.partitionBy("shard").orderBy("_range", "_fine")) - F.col("n")).drop("n")
-    inside = Window.partitionBy("shard", "_range", "_fine").orderBy("_key", "_sub", "_nth")
-    numbered = work.withColumn("_inside", F.row_number().over(inside) - 1)
-    bounded = shards * 4**bits <= 100_000
-    out = numbered.join(F.broadcast(first) if bounded else first, ["shard", "_range", "_fine"])
+    bits = max(1, (-(-(rows or 0) // RANGE_ROWS) - 1).bit_length() + 1)
+
+    def place(df: DataFrame) -> DataFrame:
+        """Adds _nth, shard and _range; _nth numbers rows alike in key and doc_id where they are more than the tolerance allows."""
+        nth = F.lit(0)
+        if tied:
+            alike = reduce(lambda x, y: x | y, [(F.col("_key") == k) & (F.col("_sub") == s) for k, s in tied])
+            number = F.row_number().over(Window.partitionBy("_key", "_sub").orderBy(F.lit(1))) - 1
+            df = df.filter(alike).withColumn("_nth", number).union(df.filter(~alike).withColumn("_nth", F.lit(0)))
+        else:
+            df = df.withColumn("_nth", nth)
+        here, at = F.struct("_key", "_sub", "_nth"), F.lit(0)
+        for k, s, n in sorted(cuts):
+            at = at + (here >= F.struct(F.lit(k).cast("long"), F.lit(s).cast("long"), F.lit(n))).cast("int")
+        return df.withColumn("shard", at).withColumn("_range", F.shiftright("_key", 64 - bits))
+
+    # ranges of keys of about RANGE_ROWS rows; only a range that a hot text fills is cut further, by doc_id's hash
+    counted = place(table)
+    share = F.count("*") / F.lit(float(RANGE_ROWS))
+    sizes = materialise(counted.groupBy("shard", "_range").agg(F.when(share > 4, F.ceil(F.log2(share))).otherwise(0).cast("int").alias("_bits")))
+    fine = F.when(F.col("_bits") > 0, F.expr("shiftright(xxhash64(_sub), 64 - _bits)")).otherwise(F.lit(0).cast("long"))
+    cell = ["shard", "_range", "_fine"]
+    marks = with_small(counted, sizes, ["shard", "_range"], salt="_sub").withColumn("_fine", fine).groupBy(*cell).agg(F.count("*").alias("n"))
+    # a row in RANGE_ROWS / 2 at most
+    first = materialise(marks.withColumn("_first", F.sum("n").over(Window.partitionBy("shard").orderBy("_range", "_fine")) - F.col("n")).drop("n"))
+    placed = with_small(place(work), sizes, ["shard", "_range"], salt="_sub").withColumn("_fine", fine)
+    placed = with_small(placed, first, cell, salt="_sub")
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("_key", "_sub", "_nth")) - 1
     names = [c for c in docs.columns if c.lower() not in {"size", "shard", "slot"}]
-    return out.select(*names, "size", "shard", (F.col("_first") + F.col("_inside")).cast("long").alias("slot"))
+    return placed.withColumn("_inside", inside).select(*names, "size", "shard", (F.col("_first") + F.col("_inside")).cast("long").alias("slot"))
