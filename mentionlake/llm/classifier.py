@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionlake.llm import _text as X
+from mentionlake.llm._spark import text_udf
 from mentionlake.llm._sample import sample_by_label
 
 BUCKETS = 1 << 16
@@ -158,7 +159,6 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
     Null and empty texts are scored as having no n-grams; without a model every score is 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
     def rate(column: pa.Array) -> pa.Array:
         m = shared.value
         if m is None:
@@ -166,4 +166,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
         z = np.array([m.margin(f) for _, _, d, o in X.chunks(column) for f in indicators(d, o, len(m.weights) - EXTRA)])
         return pa.array(1 / (1 + np.exp(-np.clip(m.slope * z + m.offset, -30, 30))), pa.float64())
 
-    return docs.withColumn(out, rate(F.col(text)))
+    return docs.withColumn(out, text_udf(docs.sparkSession, "double", rate)(F.col(text)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentionlake.llm._spark import materialise, with_small
+from mentionlake.llm._spark import materialise, text_udf, with_small
 
 #: Share of a host's votes from which on a path wins, and how many paths at most are tried.
 SHARE, PATHS = 0.05, 8
@@ -172,12 +172,11 @@ def host(url) -> F.Column:
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html", share: float = SHARE, most: int = PATHS) -> DataFrame:
     """Winning paths of each host, most votes first: columns _host, _paths."""
 
-    @F.arrow_udf("string")
     def vote(column: pa.Array) -> pa.Array:
         best = (best_path(t) if t else None for t in column.to_pylist())
         return pa.array([b and b[0] for b in best], pa.string())
 
-    votes = pages.select(host(url).alias("_host"), vote(F.col(html)).alias("path")).filter("path is not null").groupBy("_host", "path").agg(F.count("*").alias("n"))
+    votes = pages.select(host(url).alias("_host"), text_udf(pages.sparkSession, "string", vote)(F.col(html)).alias("path")).filter("path is not null").groupBy("_host", "path").agg(F.count("*").alias("n"))
     every = votes.groupBy("_host").agg(F.sum("n").alias("all"))
     strong = votes.join(every, "_host").filter(F.col("n") >= share * F.col("all"))  # at most 1 / share rows a host
     return strong.groupBy("_host").agg(

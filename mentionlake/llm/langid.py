@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionlake.llm import _text as X
+from mentionlake.llm._spark import text_udf
 from mentionlake.llm._sample import sample_by_label
 
 BUCKETS = 1 << 15
@@ -170,7 +171,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf(PREDICTION)
     def predict(column: pa.Array) -> pa.Array:
         m = shared.value
         name, score, no = [], [], []
@@ -187,4 +187,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str
             names=["lang_pred", "score", "rejected"],
         )
 
-    return docs.withColumn(out, predict(F.col(text)))
+    return docs.withColumn(out, text_udf(docs.sparkSession, PREDICTION, predict)(F.col(text)))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mentionlake.llm import _text as X
-from mentionlake.llm._spark import components, materialise
+from mentionlake.llm._spark import components, materialise, text_udf
 
 RADIUS = 2
 SHINGLE = 3
@@ -79,12 +79,11 @@ def _fingerprints(data: np.ndarray, offs: np.ndarray, shingle: int, seed: int) -
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """Adds the fingerprint as a long (two's complement) in column `out`, which is replaced if it exists."""
 
-    @F.arrow_udf("long")
     def fingerprint(column: pa.Array) -> pa.Array:
         parts = [_fingerprints(d, o, shingle, seed) for _, _, d, o in X.chunks(column)]
         return pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
 
-    return docs.withColumn(out, fingerprint(F.col(text)))
+    return docs.withColumn(out, text_udf(docs.sparkSession, "long", fingerprint)(F.col(text)))
 
 
 def _near(parts: int, radius: int) -> list[list[int]]:
