@@ -128,7 +128,7 @@ def _best(nodes, blocks) -> _Node | None:
             continue
         worth = max(0.0, size - 2.0 * linked)
         while node is not None:
-            if node.tag in _CONTAINER:
+            if node.tag in _CONTAINER or node.parent is None:
                 score[node] = score.get(node, 0.0) + worth
                 worth *= 0.9
             node = node.parent
