@@ -4,8 +4,8 @@ Fingerprints come from XXH64 of word shingles, computed for a whole batch at onc
 summed as bytes packed into 64-bit words. Equal fingerprints become one class, so groups of copies,
 however large, are counted and never paired.
 
-Classes are laid out in tiles by the population counts of the fingerprint's parts (four 16-bit parts
-by default). Two fingerprints within the radius differ by at most the radius in the sum of absolute
+Classes are laid out in tiles by the population counts of the fingerprint's parts (four 16-bit parts;
+more for very many fingerprints, so that the work stays near proportion). Two fingerprints within the radius differ by at most the radius in the sum of absolute
 differences of these counts, so a tile is compared only with tiles inside that distance, about one
 pair of tiles in a hundred; the rest is skipped unseen. Inside a pair of tiles every pair is compared
 by exclusive-or and bit count. Each tile travels as packed bytes, 8 a fingerprint, and large tiles
@@ -32,7 +32,9 @@ from mentionlake.llm._spark import components, materialise, text_udf
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
-PARTS = 4
+#: Parts of a fingerprint whose population counts make a tile's place, by the number of fingerprints: more parts
+#: skip more pairs of tiles (about 99%, 99.8% and all but one in ten million) and send each tile to more others.
+PARTS = ((4_000_000, 4), (1_000_000_000, 8), (2**63, 16))
 #: Fingerprints in one block of a tile.
 BLOCK = 4096
 
@@ -103,13 +105,17 @@ def _sparse(parts: int, radius: int) -> list[list[int]]:
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def near_pairs(classes: DataFrame, fp: str = "fp", radius: int = RADIUS, parts: int = PARTS, block: int = BLOCK) -> DataFrame:
+def near_pairs(classes: DataFrame, fp: str = "fp", radius: int = RADIUS, parts: int | None = None, block: int = BLOCK) -> DataFrame:
     """All pairs (a, b) of the distinct fingerprints in `classes` at 1 to `radius` differing bits, each once."""
+    if parts is None:
+        n = classes.count()
+        parts = next(p for most, p in PARTS if n <= most)
     width = 64 // parts
     mask = (1 << width) - 1
+    base = width + 1 + 2 * radius  # room for a step to either side
     code = F.lit(0).cast("long")
     for k in range(parts):
-        code = code * 64 + F.bit_count(F.shiftrightunsigned(F.col(fp), k * width).bitwiseAND(F.lit(mask).cast("long"))).cast("long") + 2
+        code = code * base + F.bit_count(F.shiftrightunsigned(F.col(fp), k * width).bitwiseAND(F.lit(mask).cast("long"))).cast("long") + radius
     cells = classes.select(F.col(fp).alias("fp"), code.alias("cell"))
     # at most (width + 1) ** parts rows: a proven bound
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
@@ -119,7 +125,7 @@ def near_pairs(classes: DataFrame, fp: str = "fp", radius: int = RADIUS, parts:
         .agg(F.collect_list("fp").alias("fps"))
         .select("cell", "block", "fps")
     )
-    steps = [sum(x * 64 ** (parts - 1 - i) for i, x in enumerate(d)) for d in _near(parts, radius)]
+    steps = [sum(x * base ** (parts - 1 - i) for i, x in enumerate(d)) for d in _near(parts, radius)]
     left = tiles.select(
         F.explode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("step"), F.col("cell").alias("from"), F.col("block").alias("from_block"), F.col("fps").alias("ours")
     ).withColumn("cell", F.col("from") + F.col("step"))
