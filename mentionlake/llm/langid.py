@@ -25,8 +25,10 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 LENGTHS = (2, 3, 4)
 #: Labelled rows of each language that training reads at most (in expectation).
-PER_LANGUAGE = 1_500
+PER_LANGUAGE = 1_000
 EPOCHS = 6
+#: A small sample is read more often, until so many documents have been seen.
+MIN_STEPS = 8_000
 #: Share of correct calibration documents that rejection may lose.
 LOST = 0.001
 UNKNOWN = "und"
@@ -105,16 +107,17 @@ def train(texts: pa.Array, labels: list[str], held: np.ndarray, epochs: int = EP
         order = np.argsort(doc, kind="stable")
         bounds = np.searchsorted(doc[order], np.arange(len(offs)))
         for a, b in zip(bounds[:-1], bounds[1:]):
-            docs.append(np.unique(key[order[a:b]], return_counts=True))
+            one, count = np.unique(key[order[a:b]], return_counts=True)
+            docs.append((one, (count / max(1, b - a)).astype(np.float32)))
     e = (rng.standard_normal((buckets, dims)) / dims).astype(np.float32)
     w = np.zeros((dims, len(names)), dtype=np.float32)
     bias = np.zeros(len(names), dtype=np.float32)
     learn = np.flatnonzero(~held & np.array([len(k) > 0 for k, _ in docs], dtype=bool))
+    epochs = max(epochs, min(100, -(-MIN_STEPS // max(1, len(learn)))))
     for epoch in range(epochs):
         rate = np.float32(0.5 * (1 - epoch / epochs))
         for i in rng.permutation(learn):
-            key, count = docs[i]
-            share = (count / count.sum()).astype(np.float32)
+            key, share = docs[i]
             own = e[key]
             mean = share @ own
             g = _softmax(mean @ w + bias)
@@ -124,7 +127,7 @@ def train(texts: pa.Array, labels: list[str], held: np.ndarray, epochs: int = EP
             bias -= rate * g * np.float32(0.1)
             e[key] = own - np.outer(share * (rate * np.float32(20)), back)
     model = Model(names, (e @ w).astype(np.float32), bias.astype(np.float64))
-    z = np.array([(c / max(1, c.sum())) @ model.table[k] if len(k) else np.zeros(len(names)) for k, c in docs]) + model.bias
+    z = np.array([c @ model.table[k] if len(k) else np.zeros(len(names)) for k, c in docs]) + model.bias
     z, t = z[held], y[held]
     if len(t):
         grid = np.exp(np.linspace(-3, 3, 61))
