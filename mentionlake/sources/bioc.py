@@ -32,7 +32,7 @@ def read_xml(spark: SparkSession, paths: str | Sequence[str], strip_namespaces:
     if strip_namespaces:
         reader = reader.option("ignoreNamespace", "true")
     docs = reader.schema(schemas.DOCUMENT_XML).load(input_files(paths))
-    docs = docs.select("*", F.col("_metadata.file_path").alias("source_path"), F.monotonically_increasing_id().alias("_order"))
+    docs = docs.select("*", F.col("_metadata.file_path").alias("source_path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("i")).alias("_order"))
     # the number inside a file is what identifies a document: ids may repeat
     return docs.withColumn("doc_idx", F.row_number().over(Window.partitionBy("source_path").orderBy("_order")) - 1).drop("_order")
 
