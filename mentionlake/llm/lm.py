@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionlake.llm import _text as X
+from mentionlake.llm._spark import trim
 
 #: Weight of the prior, in occurrences.
 PRIOR = 300.0
 #: UTF-8 bytes of a block's texts, on average.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 _END = X.U64(0x5851F42D4C957F2D)
 _START = X.U64(0x14057B7EF767814F)
@@ -114,7 +115,10 @@ def _ask(table: pa.Table, shards: int) -> pa.Table:
         for s in range(shards):
             a, b = cut[s], cut[s + 1]
             rows.append((s, block, kind, _packed(distinct[a:b]), _planes(count[a:b])))
-    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ASK_PA)], schema=_ASK_PA)
+    out = pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ASK_PA)], schema=_ASK_PA)
+    del rows, token, keys, distinct, count, learn
+    trim()
+    return out
 
 
 _ANSWER = "block long, kind int, keys binary, counts binary, n long, v long"
@@ -203,7 +207,10 @@ def _score(docs: pa.Table, answers: pa.Table, prior: float, schema: pa.Schema) -
         "base_score": pa.array(np.add.reduceat(model.root[word], first)),
         "score": pa.array(np.add.reduceat(weight, first)),
     }
-    return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(out.values(), schema)], schema=schema)
+    done = pa.Table.from_arrays([c.cast(f.type) for c, f in zip(out.values(), schema)], schema=schema)
+    del model, token, word, weight, taken, state, told
+    trim()
+    return done
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: str | None = None, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
