@@ -31,7 +31,7 @@ SHARDS = 8
 TOLERANCE = 0.005
 PROBES = 256
 #: Rows numbered by one task.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 20_000
 
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
@@ -130,14 +130,14 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     # ranges of keys of about RANGE_ROWS rows; only a range that a hot text fills is cut further, by doc_id's hash
     counted = place(table)
     share = F.count("*") / F.lit(float(RANGE_ROWS))
-    sizes = materialise(counted.groupBy("shard", "_range").agg(F.when(share > 4, F.ceil(F.log2(share))).otherwise(0).cast("int").alias("_bits")))
+    hot = materialise(counted.groupBy("shard", "_range").agg(share.alias("_share")).filter("_share > 4").select("shard", "_range", F.ceil(F.log2("_share")).cast("int").alias("_bits")))
     fine = F.when(F.col("_bits") > 0, F.expr("shiftright(xxhash64(_sub), 64 - _bits)")).otherwise(F.lit(0).cast("long"))
     cell = ["shard", "_range", "_fine"]
-    marks = with_small(counted, sizes, ["shard", "_range"], salt="_sub").withColumn("_fine", fine).groupBy(*cell).agg(F.count("*").alias("n"))
+    marks = with_small(counted, hot, ["shard", "_range"], "left", salt="_sub").withColumn("_fine", fine).groupBy(*cell).agg(F.count("*").alias("n"))
     # a row in RANGE_ROWS / 2 at most
     first = materialise(marks.withColumn("_first", F.sum("n").over(Window.partitionBy("shard").orderBy("_range", "_fine")) - F.col("n")).drop("n"))
-    placed = with_small(place(work), sizes, ["shard", "_range"], salt="_sub").withColumn("_fine", fine)
-    placed = with_small(placed, first, cell, salt="_sub")
+    placed = with_small(place(work), hot, ["shard", "_range"], "left", salt="_sub").withColumn("_fine", fine)
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy("_key", "_sub", "_nth")) - 1
     names = [c for c in docs.columns if c.lower() not in {"size", "shard", "slot"}]
-    return placed.withColumn("_inside", inside).select(*names, "size", "shard", (F.col("_first") + F.col("_inside")).cast("long").alias("slot"))
+    # rows lie by cell after the numbering, so the join moves only the counts
+    return placed.withColumn("_inside", inside).join(first, cell).select(*names, "size", "shard", (F.col("_first") + F.col("_inside")).cast("long").alias("slot"))
