@@ -73,7 +73,9 @@ def expand(wanted: DataFrame, long_forms: DataFrame) -> DataFrame:
     best = graded.groupBy("document_key", "matched_key").agg(F.min("kind").alias("best"))
     graded = graded.join(best, ["document_key", "matched_key"]).filter("kind = best")
     sure = graded.filter("kind < 2").withColumn("s", F.lit(1.0))
-    fuzzy = graded.filter("kind = 2").withColumn("s", key_ratio("matched_key", "short_key")).filter(F.col("s") >= X.abbreviation_threshold("matched_key"))
+    # a similarity can't exceed what the lengths allow, and only equal keys reach 1: both are settled without Python
+    a, b, least = F.length("matched_key"), F.length("short_key"), X.abbreviation_threshold("matched_key")
+    fuzzy = graded.filter((F.col("kind") == 2) & (least < 1.0) & (2 * F.least(a, b) >= least * (a + b))).withColumn("s", key_ratio("matched_key", "short_key")).filter(F.col("s") >= X.abbreviation_threshold("matched_key"))
     w = Window.partitionBy("document_key", "matched_key").orderBy(F.desc("s"), "short_key")
     out = sure.unionByName(fuzzy).withColumn("r", F.row_number().over(w)).filter("r = 1")
     method = F.element_at(F.array(F.lit("exact_key"), F.lit("exact_variant"), F.lit("fuzzy_shortform")), F.col("kind") + 1)

@@ -56,13 +56,11 @@ def shuffled(pairs: DataFrame, seed: int = 13) -> DataFrame:
 
 def closure(concepts: DataFrame, rounds: int = 30) -> DataFrame:
     """Ancestors over the parents' edges (an extension): identifier, ancestor. Doubles path lengths each round."""
-    from pyspark.sql import DataFrame as _D
-
     edges = concepts.select("identifier", F.explode("parents").alias("ancestor")).distinct()
     now, n = edges, -1
     for _ in range(rounds):
         step = now.alias("a").join(now.alias("b"), F.col("a.ancestor") == F.col("b.identifier")).select(F.col("a.identifier"), F.col("b.ancestor"))
-        now: _D = now.union(step).distinct()
+        now = now.union(step).distinct()
         m = now.count()
         if m == n:
             return now
