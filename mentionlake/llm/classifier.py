@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 EXTRA = 64
 LENGTHS = (1, 2, 4)
 #: Labelled rows of each class that training reads at most (in expectation).
-PER_CLASS = 4_000
+PER_CLASS = 2_000
 EPOCHS = 12
 PENALTY = 1.0
 BETA = 0.6
