@@ -93,9 +93,10 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     """
     work = docs.withColumns({"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, "_key": text_key(text), "_sub": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOW).cast("long"))})
     table = materialise(work.select("_key", "_sub", "size"))
-    total, rows = table.agg(F.sum("size"), F.count("*")).first()
+    total, rows, most = table.agg(F.sum("size"), F.count("*"), F.max("size")).first()
     total = total or 0
-    slack = tolerance * total / shards
+    # a single row can't be cut: half of the largest is as near as a splitter can be asked to come
+    slack = max(tolerance * total / shards, (most or 0) / 2)
     goals = [total * k / shards for k in range(1, shards)]
     cuts: list[tuple[int, int, int]] = []  # the first key, sub-key and number of the shard behind the cut
     found = _splitters(table, "_key", goals, slack, probes) if rows else []
