@@ -133,6 +133,15 @@ def test_repeated_ids_and_null_ids(spark):
     assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == [1, 2]
 
 
+def test_no_group_is_lost_where_ids_repeat(spark):
+    a, b, c, d = (" ".join(random.Random(k).choices([f"w{i}" for i in range(500)], k=40)) for k in range(4))
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, d), (None, d), (None, a), (9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3, 7):
+        got = simhash.deduplicate(df.repartition(parts)).collect()
+        assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(5, a), (3, b), (0, c), (0, d), (9, "")])
+
+
 def test_components(spark):
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (200, 100)] + [(1000, r.randint(1001, 1100)) for _ in range(80)]
