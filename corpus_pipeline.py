@@ -30,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and thins out sources to their target weights: a row per repetition."""
-    return mixing.mixed(docs)
+    """Repeats and thins out sources to their target weights in whole documents: a row per repetition."""
+    return mixing.mixed_whole(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,12 @@ def text_udf(spark: SparkSession, kind: str, work: Callable[[pa.Array], pa.Array
     return F.arrow_udf(run, kind)
 
 
+def row_key(*names: str) -> F.Column:
+    """A digest of some columns of a row, never null: rows of one key are alike in these columns."""
+    parts = [F.col(n).cast("string") for n in names]
+    return F.unhex(F.sha2(F.concat(*[F.coalesce(F.concat(F.length(p), F.lit(":"), p), F.lit("-")) for p in parts]), 256))
+
+
 def with_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salt: str | None = None, salts: int = 32) -> DataFrame:
     """Join with a table whose rows are counted first: broadcast up to ``BROADCAST_ROWS``; beyond that
     a shuffled join whose hot keys are spread over `salts` copies of the small side."""

@@ -283,6 +283,38 @@ def test_mixture_has_the_words_taken(docs, empty):
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_nearest_subset(seed):
+    r = random.Random(seed)
+    sizes, goal = [r.randint(1, 300) for _ in range(9)], r.randint(0, 900)
+    sums = [sum(s for k, s in enumerate(sizes) if m >> k & 1) for m in range(1 << 9)]
+    got = mixing.nearest_subset(sizes, goal)
+    assert abs(sum(s for s, t in zip(sizes, got) if t) - goal) == min(abs(x - goal) for x in sums)
+    assert mixing.nearest_subset([10**9, 3], 10**9) == [True, False]
+
+
+def test_pipeline_mixture_has_whole_documents(spark, docs, empty):
+    import corpus_pipeline as P
+
+    assert P.mixture(spark, empty, "").count() == 0
+    goal = {r.source: r.target for r in mixing.mix(docs).collect()}
+    given = Counter((r.doc_id, r.text) for r in docs.collect())
+    got, words = Counter(), Counter()
+    for r in P.mixture(spark, docs, "").collect():
+        got[r.doc_id, r.text] += 1
+        words[r.source] += len(brute.WORD.findall(r.text))
+    assert set(got) <= set(given) and max(got.values()) <= 3
+    small = [s for s in goal if goal[s] < 20_000]
+    assert len(small) >= 3 and all(abs(words[s] - goal[s]) <= 60 for s in small)
+    # ids that are null or repeated: each row is counted on its own, alike rows share
+    rows = [(None, f"n{i}\n " * (i % 7 + 1), "ab"[i % 2]) for i in range(60)] + [(1, "x y", "a")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.source: r.target for r in mixing.mix(df).collect()}
+    some = P.mixture(spark, df, "").collect()
+    assert {(r.doc_id, r.text, r.source) for r in some} <= set(rows)
+    assert all(abs(sum(len(r.text.split()) for r in some if r.source == s) - want[s]) <= 1 for s in "ab")
+
+
 # 10 sharding
 
 
