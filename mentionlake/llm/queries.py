@@ -90,6 +90,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_CRC_TABLE = []
+for _i in range(256):
+    for _ in range(8):
+        _i = _i >> 1 ^ (0xEDB88320 if _i & 1 else 0)
+    _CRC_TABLE.append(_i)
+
+
+def _crc32_sql(octets: str) -> str:
+    """CRC-32 of a list of octets, which DuckDB doesn't have, by its table."""
+    step = f"lambda x, y: xor(x >> 8, CAST([{', '.join(map(str, _CRC_TABLE))}] AS BIGINT[])[(xor(x, y) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), {step}), 4294967295::BIGINT)"
+
+
+#: CRC-32 of doc_id as text (ASCII)
+CRC32_SQL = _crc32_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))")
+
 #: op5: targets by the closed form of water-filling, words by the running sum in the seeded order.
 OP5_SQL = r"""
 WITH sized AS (
@@ -172,4 +188,42 @@ FROM one
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _op2_sql(), "op5_source_mixing": OP5_SQL}
+def _op7_sql() -> str:
+    """The trigram model by joins: a probability is its own count's share where there is one, else what the failure leaves to the order below."""
+    two, three = lm.PRIORS
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, crc32_rest = 1 AS held_out,
+         list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), ['']) AS w
+  FROM (SELECT doc_id, text, {CRC32_SQL} % 5 AS crc32_rest FROM documents)
+), t AS (
+  SELECT r, doc_id, held_out, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM d
+), g AS (
+  SELECT r, doc_id, held_out, i, c, coalesce(lag(c, 1) OVER o, ' ') AS b, CASE WHEN i = 1 THEN NULL ELSE coalesce(lag(c, 2) OVER o, ' ') END AS a
+  FROM t WINDOW o AS (PARTITION BY r ORDER BY i)
+), one AS (
+  SELECT c, count(*) AS k FROM g WHERE NOT held_out GROUP BY c
+), context AS (
+  SELECT b, count(*) AS k FROM g WHERE NOT held_out GROUP BY b
+), two AS (
+  SELECT b, c, count(*) AS k FROM g WHERE NOT held_out GROUP BY b, c
+), three AS (
+  SELECT a, b, c, count(*) AS k FROM g WHERE NOT held_out AND a IS NOT NULL GROUP BY a, b, c
+), size AS (
+  SELECT CAST(sum(k) AS BIGINT) AS n, count(*) AS v FROM one
+), p AS (
+  SELECT g.r, g.doc_id, g.held_out, one.k IS NOT NULL AS known, n, (coalesce(one.k, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)) AS p1,
+         coalesce(context.k, 0) AS x2, coalesce(two.k, 0) AS k2, g.a IS NOT NULL AS deep, coalesce(before.k, 0) AS x3, coalesce(three.k, 0) AS k3
+  FROM g CROSS JOIN size LEFT JOIN one ON one.c = g.c LEFT JOIN context ON context.b = g.b LEFT JOIN two ON two.b = g.b AND two.c = g.c
+  LEFT JOIN two AS before ON before.b = g.a AND before.c = g.b LEFT JOIN three ON three.a = g.a AND three.b = g.b AND three.c = g.c
+), q AS (
+  SELECT *, (k2 + {two}::DOUBLE * p1) / (x2 + {two}::DOUBLE) AS p2 FROM p
+)
+SELECT any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, CAST(sum(CAST(known AS INTEGER)) AS BIGINT) AS n_known, any_value(n) AS train_tokens,
+       fsum(log10(p1)) AS base_score, fsum(log10(CASE WHEN deep THEN (k3 + {three}::DOUBLE * p2) / (x3 + {three}::DOUBLE) ELSE p2 END)) AS score
+FROM q GROUP BY r
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _op2_sql(), "op5_source_mixing": OP5_SQL, "op7_lm_scoring": _op7_sql()}

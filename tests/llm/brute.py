@@ -99,21 +99,29 @@ def water(sizes: dict, weights: dict, most: int = 3) -> dict:
     return {s: float(most * sizes[s]) if s in clamped else weights[s] * level for s in sizes}
 
 
-def bigram_scores(texts: dict[int, str | None], prior: float):
-    """(n_tokens, n_known, train_tokens, base_score, score) by document."""
+def backoff_scores(texts: dict[int, str | None], priors: tuple[float, ...]):
+    """(n_tokens, n_known, train_tokens, base_score, score) by document, by recursion over shorter and shorter contexts."""
     tok = {i: [*WORD.findall(lower(t or "")), None] for i, t in texts.items()}
-    one, two, docs = Counter(), Counter(), 0
+    seen = Counter()
     for i, w in tok.items():
         if not held(i, 5, 1):
-            one.update(w)
-            two.update(zip(["<s>", *w[:-1]], w))
-            docs += 1
-    n, v = sum(one.values()), len(one)
-    p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+            s = ["<s>", *w]
+            seen.update(tuple(s[a : a + n]) for n in range(1, len(priors) + 2) for a in range(len(s) - n + 1))
+    starts = seen.pop(("<s>",), 0)
+    n, v = sum(c for g, c in seen.items() if len(g) == 1), sum(len(g) == 1 for g in seen)
+
+    def p(context: tuple, x) -> float:
+        if not context:
+            return (seen[(x,)] + 0.5) / (n + 0.5 * (v + 1))
+        total = starts if context == ("<s>",) else seen[context]
+        prior = priors[len(context) - 1]
+        if not seen[context + (x,)]:
+            return prior / (total + prior) * p(context[1:], x)
+        return (seen[context + (x,)] + prior * p(context[1:], x)) / (total + prior)
+
     out = {}
     for i, w in tok.items():
-        before = ["<s>", *w[:-1]]
-        total = lambda b: docs if b == "<s>" else one[b]
-        s = sum(math.log10((two[b, x] + prior * p(x)) / (total(b) + prior)) for b, x in zip(before, w))
-        out[i] = (len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), s)
+        s = ["<s>", *w]
+        score = sum(math.log10(p(tuple(s[max(0, a - len(priors)) : a]), s[a])) for a in range(1, len(s)))
+        out[i] = (len(w), sum(seen[(x,)] > 0 for x in w), n, sum(math.log10(p((), x)) for x in w), score)
     return out
