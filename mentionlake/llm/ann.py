@@ -6,9 +6,12 @@ product of query and centre is expanded next, so leaves come best first. How man
 visits is not guessed: for a bounded set of queries the exact neighbours among all rows are found,
 and the visits are widened until the mean recall over them reaches the target.
 
-Rows are stored by branch and block, blocks are bounded, so a leaf that attracts a third of all rows
-is spread. A block meets its queries once, compares leaf by leaf with matrix products and sends on
-each query's best of the block. Scores are recomputed row by row in double precision.
+Rows are stored by leaf, in cells of bounded size: a cell holds a run of neighbouring small leaves, or
+a part of a large one, so a leaf that attracts a third of all rows is spread. A query is sent, once,
+to each cell that holds leaves it visits, and is multiplied with the rows of these leaves alone; other
+cells never see it. A cell that more queries visit than one task should take is copied for each part
+of them, and only such a cell is. A cell sends on each query's best. Scores are recomputed row by row
+in double precision.
 """
 
 from __future__ import annotations
@@ -20,18 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mentionlake.llm._spark import materialise
+from mentionlake.llm._spark import materialise, with_small
 
 K = 20
-SAMPLE = 16_384
-LEAVES = 1_024
+SAMPLE = 32_768
+LEAVES = 4_096
 BRANCH = 16
-LEAF_ROWS = 400
+LEAF_ROWS = 32
+#: Rows of a cell, on average at most.
 BLOCK = 8_192
 CALIBRATION = 256
-RECALL = 0.97
-#: Queries that meet one block in one task.
-QUERIES = 65_536
+RECALL = 0.94
+#: Queries that meet one cell in one task, on average at most.
+QUERIES = 16_384
 
 
 def _dots(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -40,7 +44,7 @@ def _dots(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Centres by node; node 0 is the root. Leaves are numbered; a branch is a child of the root."""
+    """Centres by node; node 0 is the root. Leaves are numbered so that those of a subtree follow each other."""
 
     def __init__(self, x: np.ndarray, leaves: int, branch: int = BRANCH, seed: int = 5):
         self.centres: list[np.ndarray] = [np.zeros(x.shape[1])]
@@ -48,17 +52,8 @@ class Tree:
         self.leaf_of: dict[int, int] = {}
         rng = np.random.default_rng(seed)
         self._split(0, x, leaves, branch, rng)
-        self.leaf_node = sorted(self.leaf_of, key=self.leaf_of.get)
-        self.branch_of = {}
-        for b, child in enumerate(self.children[0] or [0]):
-            for leaf in self._under(child):
-                self.branch_of[leaf] = b
-        self.branch_of = np.array([self.branch_of[i] for i in range(len(self.leaf_node))], dtype=np.int64)
         self.matrix = np.stack(self.centres)
 
-    def _under(self, node: int) -> list[int]:
-        return [self.leaf_of[node]] if node in self.leaf_of else [x for c in self.children[node] for x in self._under(c)]
-
     def _split(self, node: int, x: np.ndarray, leaves: int, branch: int, rng) -> None:
         k = min(branch, leaves, len(x))
         label, centres = _kmeans(x, k, rng) if k > 1 else (None, None)
@@ -133,7 +128,7 @@ def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return vectors.filter(fine & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), e.cast("array<double>").alias("v"))
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int, floor: float = 1e-9) -> np.ndarray:
+def _best(score: np.ndarray, k: int, floor: float = 1e-9) -> np.ndarray:
     """Columns that may be among the k best of a row: everything down to the k-th score, ties included."""
     if score.shape[0] <= k:
         return np.arange(score.shape[0])
@@ -142,49 +137,100 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int, floor: float = 1e-9) -> np
 
 
 def _top(q: np.ndarray, qid: int, x: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int):
-    s = _dots(x[at], q)
-    keep = ids[at] != qid
-    s, i = s[keep], ids[at][keep]
+    """Ids, scores and rows of the k best of the rows `at`."""
+    at = at[ids[at] != qid]
+    s, i = _dots(x[at], q), ids[at]
     order = np.lexsort((i, -s))[:k]
-    return i[order], s[order]
+    return i[order], s[order], at[order]
 
 
-_FOUND = "query_id long, vec_id long, score double"
-_FOUND_PA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = "query_id long, query long, vec_id long, score double, leaf long"
+_FOUND_PA = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("leaf", pa.int64())])
 
 
 def _emit(out: list) -> pa.RecordBatch:
-    cols = [np.concatenate(c) if c else np.zeros(0) for c in zip(*out)] if out else [np.zeros(0)] * 3
+    cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * len(_FOUND_PA)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _FOUND_PA)], schema=_FOUND_PA)
 
 
-def nearest_exact(rows: DataFrame, qid: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    """Exact neighbours of a bounded set of queries among all rows (vec_id, v), partial best per partition first."""
+def nearest_exact(rows: DataFrame, qid: np.ndarray, query: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """Exact neighbours of a bounded set of queries among all rows (vec_id, v, leaf), partial best per partition first."""
 
     def search(batches):
         best: dict[int, tuple] = {}
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            ids, x, leaf = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
             for at in range(0, len(ids), BLOCK):
                 xs, own = x[at : at + BLOCK], ids[at : at + BLOCK]
                 score = q @ xs.T
+                score[own[None, :] == qid[:, None]] = -np.inf
                 for n in range(len(qid)):
-                    i, s = _top(q[n], qid[n], xs, own, _best(score[n], own, k + 1), k)
+                    i, s, at_row = _top(q[n], qid[n], xs, own, _best(score[n], k), k)
+                    found = (i, s, leaf[at : at + BLOCK][at_row])
                     if n in best:
-                        i, s = np.concatenate([best[n][0], i]), np.concatenate([best[n][1], s])
-                        order = np.lexsort((i, -s))[:k]
-                        i, s = i[order], s[order]
-                    best[n] = (i, s)
-        yield _emit([(np.full(len(i), qid[n]), i, s) for n, (i, s) in best.items()])
+                        found = tuple(np.concatenate(x) for x in zip(best[n], found))
+                        order = np.lexsort((found[0], -found[1]))[:k]
+                        found = tuple(x[order] for x in found)
+                    best[n] = found
+        yield _emit([(np.full(len(i), qid[n]), np.full(len(i), query[n]), i, s, f) for n, (i, s, f) in best.items()])
 
-    return _ranked(rows.mapInArrow(search, _FOUND), k)
+    return _ranked(rows.select("vec_id", "v", "leaf").mapInArrow(search, _FOUND), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def meet(qid: np.ndarray, query: np.ndarray, q: np.ndarray, visits: list[np.ndarray], ids: np.ndarray, x: np.ndarray, leaf: np.ndarray, k: int) -> tuple[list, int]:
+    """Each query's best rows of the leaves it visits, and how many products of a query and a row it took."""
+    order = np.argsort(leaf, kind="stable")
+    ids, x, leaf = ids[order], x[order], leaf[order]
+    held, first = np.unique(leaf, return_index=True)
+    ends = np.append(first[1:], len(leaf))
+    out, products = [], 0
+    for at in range(0, len(qid), 256):
+        some = visits[at : at + 256]
+        n = np.repeat(np.arange(len(some)), [len(v) for v in some])
+        which = np.searchsorted(held, np.concatenate(some))
+        here = which < len(held)
+        here[here] = held[which[here]] == np.concatenate(some)[here]
+        n, which = n[here], which[here]
+        by = np.argsort(which, kind="stable")
+        n, which = n[by], which[by]
+        score = np.full((len(some), len(leaf)), -np.inf)
+        cuts = np.flatnonzero(np.diff(which, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(which))):
+            span = slice(first[which[a]], ends[which[a]])
+            score[n[a:b], span] = q[at + n[a:b]] @ x[span].T
+            products += (b - a) * (span.stop - span.start)
+        score[ids[None, :] == qid[at : at + 256, None]] = -np.inf
+        for m in range(len(some)):
+            near = _best(score[m], k)
+            i, s, row = _top(q[at + m], qid[at + m], x, ids, near[score[m][near] > -np.inf], k)
+            out.append((np.full(len(i), qid[at + m]), np.full(len(i), query[at + m]), i, s, leaf[row]))
+    return out, products
+
+
+def cells(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First cell of each leaf and how many cells it has: small neighbouring leaves share a cell, a large one has several."""
+    first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    cell, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > block:
+            cell, held = cell + 1, 0
+        first[i] = cell
+        parts[i] = max(1, -(-n // block))
+        if parts[i] > 1:
+            cell, held = cell + int(parts[i]), 0
+        else:
+            held += n
+    return first, parts
+
+
+_NONE = "query_id long, rank int, vec_id long, score double"
+
+
 def search(
     vectors: DataFrame,
     vec_id: str = "vec_id",
@@ -197,18 +243,22 @@ def search(
     calibration: int = CALIBRATION,
     recall: float = RECALL,
     block: int = BLOCK,
+    queries_at_once: int = QUERIES,
 ) -> DataFrame:
     """The k nearest found of each query row, by inner product in double precision: query_id, rank (from 1), vec_id, score.
 
     Null, empty, zero and non-finite vectors take no part, neither do rows without vec_id; of vectors
     of several lengths the commonest length (the longer, if equal) takes part. Equal scores go to the
-    smaller vec_id. A row never finds its own vec_id. Empty tables give empty results.
+    smaller vec_id. A row never finds its own vec_id. Rows that repeat a vec_id are candidates each;
+    as queries, those with one vector ask once, those with several vectors ask for each, and each list
+    has its own ranks. Other columns are not looked at, whatever their names. Empty tables give empty
+    results.
     """
     spark = vectors.sparkSession
     rows = _usable(vectors, vec_id, embedding)
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).first()
     if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], _NONE)
     rows = rows.filter(F.size("v") == lengths.d)
     total = lengths.n
     order = F.xxhash64("vec_id", F.lit(1))
@@ -217,72 +267,74 @@ def search(
     some = rows.filter(order <= limit).orderBy(order).limit(sample).toArrow()
     x = _matrix(some.column("v"))
     tree = Tree(x, max(1, min(leaves, total // leaf_rows, len(x) // 8)))
+    del some, x
     shared = spark.sparkContext.broadcast(tree)
-    n_leaves = len(tree.leaf_node)
+    n_leaves = len(tree.leaf_of)
 
     def place(batches):
         for batch in batches:
             leaf = shared.value.assign(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int64()), pa.array(shared.value.branch_of[leaf])], names=["vec_id", "v", "leaf", "branch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int64())], names=["vec_id", "v", "leaf"])
 
-    placed = materialise(rows.mapInArrow(place, "vec_id long, v array<double>, leaf long, branch long"))
-    queries = placed.filter(F.expr(is_query))
+    placed = materialise(rows.mapInArrow(place, "vec_id long, v array<double>, leaf long"))
+    # rows alike in id and vector are one query
+    queries = placed.filter(F.expr(is_query)).select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "v").alias("query"), F.col("v").alias("q")).dropDuplicates(["query_id", "query"])
 
     # calibration: widen until the recall of exact neighbours is met
-    asked = queries.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(2))).limit(calibration).toArrow()
+    asked = queries.orderBy(F.xxhash64("query", F.lit(2))).limit(calibration).toArrow()
     if not asked.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    qid, q = asked.column("vec_id").to_numpy(), _matrix(asked.column("v"))
-    exact = nearest_exact(placed.select("vec_id", "v"), qid, q, k)
-    truth = exact.join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").toPandas()
+        return spark.createDataFrame([], _NONE)
+    qid, query, q = asked.column("query_id").to_numpy(), asked.column("query").to_numpy(), _matrix(asked.column("q"))
+    truth = nearest_exact(placed, qid, query, q, k).select("query", "leaf").toPandas()  # at most calibration * k rows
     nth = {}
-    for one, seen in zip(qid.tolist(), tree.visits(q, n_leaves)):
+    for one, seen in zip(query.tolist(), tree.visits(q, n_leaves)):
         nth[one] = {leaf: i + 1 for i, leaf in enumerate(seen)}
-    needed = np.sort(np.array([nth[a][b] for a, b in zip(truth.query_id, truth.leaf)], dtype=np.int64))
+    needed = np.sort(np.array([nth[a][b] for a, b in zip(truth["query"], truth.leaf)], dtype=np.int64))
     most = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else n_leaves
 
-    blocks = placed.groupBy("branch").agg(F.ceil(F.count("*") / block).alias("blocks")).collect()  # at most BRANCH rows
-    per_branch = {r.branch: int(r.blocks) for r in blocks}
-    n_blocks = F.element_at(F.create_map(*[F.lit(x) for b, n in per_branch.items() for x in (int(b), n)]), F.col("branch"))
-    parts = max(1, -(-(total // 20) // QUERIES))
+    sizes = np.zeros(n_leaves, dtype=np.int64)
+    for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # at most `leaves` rows
+        sizes[r.leaf] = r.n
+    first, parts = cells(sizes, block)
+    spread = spark.sparkContext.broadcast((first, parts))
 
     def walk(batches):
+        """A row for each cell that holds leaves a query visits, with these leaves."""
         for batch in batches:
-            t, ids, branch, seen = shared.value, [], [], []
-            for i, leaf in enumerate(t.visits(_matrix(batch.column(1)), most) if batch.num_rows else ()):
-                by: dict[int, list[int]] = {}
-                for one in leaf:
-                    by.setdefault(int(t.branch_of[one]), []).append(one)
-                for b, those in by.items():
-                    ids.append(i), branch.append(b), seen.append(those)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), batch.column(1).take(pa.array(ids, pa.int64())), pa.array(branch, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["query_id", "q", "branch", "leaves"])
-
-    part = F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(parts))
-    asking = queries.select("vec_id", "v").mapInArrow(walk, "query_id long, q array<double>, branch long, leaves array<long>")
-    asking = asking.withColumn("part", part).filter(F.col("branch").isin(list(per_branch))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    stored = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(4)), n_blocks)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            (begin, some), ids, cell, seen = spread.value, [], [], []
+            for i, those in enumerate(shared.value.visits(_matrix(batch.column(2)), most) if batch.num_rows else ()):
+                those = np.sort(np.array(those, dtype=np.int64))
+                n = some[those]
+                leaf = np.repeat(those, n)
+                at = begin[leaf] + np.arange(len(leaf)) - np.repeat(np.cumsum(n) - n, n)
+                cuts = np.flatnonzero(np.diff(at, prepend=-1))
+                ids.append(np.full(len(cuts), i))
+                cell.append(at[cuts])
+                seen += np.split(leaf, cuts[1:])
+            take = pa.array(np.concatenate(ids) if ids else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(np.concatenate(cell) if cell else [], pa.int64()), pa.array(seen, pa.list_(pa.int64()))], names=["query_id", "query", "q", "cell", "leaves"])
+
+    def seat(batches):
+        for batch in batches:
+            begin, some = spread.value
+            leaf, ids = batch.column(2).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
+            n = some[leaf] if len(leaf) else leaf
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begin[leaf] + (np.arange(len(leaf)) + ids) % n if len(leaf) else leaf, pa.int64())], names=["vec_id", "v", "leaf", "cell"])
+
+    asking = materialise(queries.mapInArrow(walk, "query_id long, query long, q array<double>, cell long, leaves array<long>"))
+    busy = materialise(asking.groupBy("cell").agg(F.ceil(F.count("*") / queries_at_once).alias("parts")))
+    stored = materialise(placed.mapInArrow(seat, "vec_id long, v array<double>, leaf long, cell long"))
+    stored = with_small(stored, busy, ["cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    asking = with_small(asking, busy.select("cell", F.col("parts").alias("of")), ["cell"]).withColumn("part", F.pmod(F.xxhash64("query", F.lit(3)), F.col("of"))).drop("of")
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([], schema=_FOUND_PA)
-        x, ids, leaf = _matrix(right.column("v")), right.column("vec_id").to_numpy(), right.column("leaf").to_numpy()
-        by_leaf = np.argsort(leaf, kind="stable")
-        x, ids, leaf = x[by_leaf], ids[by_leaf], leaf[by_leaf]
-        q, qid = _matrix(left.column("q")), left.column("query_id").to_numpy()
-        visited = np.zeros((len(qid), n_leaves), dtype=bool)
         flat = left.column("leaves").combine_chunks()
-        visited[np.repeat(np.arange(len(qid)), flat.value_lengths().to_numpy()), flat.flatten().to_numpy()] = True
-        out = []
-        for at in range(0, len(qid), 256):
-            score = q[at : at + 256] @ x.T
-            score[~visited[at : at + 256][:, leaf]] = -np.inf
-            for n in range(len(score)):
-                near = _best(score[n], ids, k + 1)
-                near = near[score[n][near] > -np.inf]
-                i, s = _top(q[at + n], qid[at + n], x, ids, near, k)
-                out.append((np.full(len(i), qid[at + n]), i, s))
-        return pa.Table.from_batches([_emit(out)])
-
-    key = ["branch", "block", "part"]
-    found = asking.groupBy(*key).cogroup(stored.groupBy(*key)).applyInArrow(meet, _FOUND)
+        cut = np.cumsum(flat.value_lengths().to_numpy())[:-1]
+        visits = np.split(flat.flatten().to_numpy(), cut)
+        found, _ = meet(left.column("query_id").to_numpy(), left.column("query").to_numpy(), _matrix(left.column("q")), visits, right.column("vec_id").to_numpy(), _matrix(right.column("v")), right.column("leaf").to_numpy(), k)
+        return pa.Table.from_batches([_emit(found)])
+
+    found = asking.groupBy("cell", "part").cogroup(stored.groupBy("cell", "part")).applyInArrow(join, _FOUND)
     return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -457,6 +457,51 @@ def test_ann_recall_and_order(spark):
     assert ann.search(few).count() == 4
 
 
+def test_ann_repeated_rows(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((400, 8))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(400)]
+    rows += [rows[0], rows[0], rows[30], (20, [float(v) for v in x[21]])]  # a query three times, a candidate twice, one id with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"query": F.lit(1), "cell": F.lit(2), "leaf": F.lit("x")})
+    got = defaultdict(list)
+    for r in ann.search(df, recall=1.0, queries_at_once=5).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 400, 20))
+    every = np.array([i for i, _ in rows])
+    m = np.array([v for _, v in rows])
+    for q, found in got.items():
+        lists = [x[q]] if q != 20 else [x[20], x[21]]
+        want = []
+        for v in lists:
+            s = (m * v).sum(axis=1)
+            best = [j for j in np.lexsort((every, -s)) if every[j] != q][:20]
+            want += [(n, int(every[j]), s[j]) for n, j in enumerate(best, 1)]
+        assert sorted(found) == sorted(want)
+
+
+def test_ann_multiplies_visited_leaves_only():
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((40, 16)) * 6
+    x = centre[rng.integers(0, 40, 4000)] + rng.standard_normal((4000, 16))
+    tree = ann.Tree(x, 4000 // ann.LEAF_ROWS)
+    leaf = tree.assign(x)
+    size = np.bincount(leaf, minlength=len(tree.leaf_of))
+    first, parts = ann.cells(size, 500)
+    assert (parts == 1).all() and np.bincount(first, weights=size).max() <= 500
+    big, several = ann.cells(np.array([3, 2000, 4, 5]), 500)
+    assert big.tolist() == [0, 1, 5, 5] and several.tolist() == [1, 4, 1, 1]
+    q = np.arange(0, 4000, 20)
+    visits = [np.array(v) for v in tree.visits(x[q], 12)]
+    found, products = ann.meet(q, q, x[q], visits, np.arange(4000), x, leaf, 20)
+    assert products == sum(int(size[v].sum()) for v in visits) < 0.2 * len(q) * len(x)
+    hits = 0
+    for (_, _, ids, score, at), i in zip(found, q):
+        s = (x * x[i]).sum(axis=1)
+        assert (score == s[ids]).all() and (leaf[ids] == at).all()
+        hits += len(set(ids) & {j for j in np.argsort(-s)[:21] if j != i})
+    assert hits / (20 * len(q)) > 0.9
+
+
 # the pipeline
 
 
