@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from mentionlake.llm._spark import materialise, text_udf, with_small
 
-#: Share of a host's votes from which on a path wins, and how many paths at most are tried.
+#: Share of a host's votes from which on a path wins, and how many paths at most are tried. A rarer path is a stray
+#: page's layout: such a page finds none of the winners, or not their text, and uses its own best container.
 SHARE, PATHS = 0.05, 8
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,10 +33,17 @@ _BLOCK = frozenset(
 )
 _CONTAINER = frozenset("body article section main div td center table blockquote".split())
 _CLOSES_P = _BLOCK - {"br"}
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|reply|respond|disqus|sidebar|side|widget|menu|nav\w*|breadcrumbs?|foot\w*|head|header|masthead|topbar|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|more-?stories|tags?|pagination|pager|toolbar|gdpr|skip|search)(?:$|[\s_-])",
-    re.I,
+#: Names of what surrounds an article. A class or id is one of them if each of its parts is such a word or one of
+#: `_NEUTRAL`: `cookie-notice` and `comment-list` are, `related-work` and `article-header` aren't.
+_WORDS = re.compile(
+    r"ads?|advert(?:s|ising|isements?)?|adverts?|banners?|sponsor(?:s|ed)?|promos?|promotions?|comments?|replies|reply|respond|disqus|sidebars?|widgets?|menus?|nav(?:s|bars?|igation)?|breadcrumbs?|footers?|header|masthead|topbar|cookies?|consent|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscriptions?|signup|login|share|sharing|social|related|recommended|pagination|pager|toolbars?|gdpr|skip|search|tags|aside"
 )
+_NEUTRAL = re.compile(r"site|page|main|global|top|bottom|left|right|primary|secondary|side|box|bar|list|lists|links?|form|forms|container|wrapper|wrap|inner|outer|block|section|area|items?|posts?|articles?|stories|content|body|text|buttons?|icons?|media|google|slot|unit|zone|panel|header|title|thread|author|count|col|column|row|nav|the|my|js|is|sticky|fixed|desktop|mobile|area|message|more|user|reader|readers|secondary|and|policy|v|\d+")
+#: Names of an article's own element, whatever else it is called.
+_OWN = frozenset("entry hentry post article story entry-content post-content article-content article-body post-body story-body main-content".split())
+#: Parts of an article: their header is the article's.
+_HEADED = frozenset("article post story entry content section block title".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _GOOD = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
@@ -45,20 +53,37 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _DIGITS = re.compile(r"\d+")
 
 
+def surrounds(names: str) -> bool:
+    """Whether a class attribute or id names something around an article."""
+    some = names.split()
+    if any(n.lower() in _OWN for n in some):
+        return False
+    for n in some:
+        parts = [x.lower() for x in _PARTS.findall(n)]
+        if "header" in parts and _HEADED.intersection(parts):
+            continue
+        if any(_WORDS.fullmatch(x) for x in parts) and all(_WORDS.fullmatch(x) or _NEUTRAL.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
 class _Node:
-    __slots__ = ("tag", "path", "parent", "dropped", "blocks", "hint", "order")
+    __slots__ = ("tag", "path", "parent", "fixed", "named", "hint", "order", "dropped", "worth", "holds")
+
+    def __init__(self, tag: str, path: str, parent, fixed: bool, named: bool, hint: int, order: int):
+        self.tag, self.path, self.parent, self.fixed, self.named, self.hint, self.order = tag, path, parent, fixed, named, hint, order
+        self.dropped, self.worth, self.holds = False, 0, False
 
-    def __init__(self, tag: str, path: str, parent, dropped: bool, hint: int, order: int):
-        self.tag, self.path, self.parent, self.dropped, self.hint, self.order = tag, path, parent, dropped, hint, order
-        self.blocks = []
 
+#: Largest share of a page's unlinked text that an element may hold and still be dropped for its name.
+MOST = 0.4
 
-def _parse(page: str, exact: bool = True):
-    """Containers of a page in order, and its blocks: (text, characters, of them in links, element, dropped).
-    Voting asks for lengths alone and leaves the texts out."""
-    root = _Node("html", "", None, False, 0, 0)
+
+def _parse(page: str):
+    """Containers of a page in order, and its blocks: (text as in the page, characters, of them in links, element)."""
+    root = _Node("html", "", None, False, False, 0, 0)
     stack = [root]
-    nodes, blocks = [root], []
+    every, nodes, blocks = [root], [root], []
     text: list[str] = []
     linked = 0
     in_link = 0
@@ -66,11 +91,9 @@ def _parse(page: str, exact: bool = True):
     def flush():
         nonlocal text, linked
         if text:
-            top = stack[-1]
-            whole = " ".join(H.unescape("".join(text)).split()) if exact and not top.dropped else ""
-            size = len(whole) if exact else sum(map(len, text))
-            if size:
-                blocks.append((whole, size, linked, top, top.dropped))
+            whole = "".join(text)
+            if not whole.isspace():
+                blocks.append((whole, len(whole), linked, stack[-1]))
         text, linked = [], 0
 
     at = 0
@@ -108,24 +131,35 @@ def _parse(page: str, exact: bool = True):
         name = " ".join((found.get("class") or "").split())
         both = f"{name} {found.get('id') or ''}"
         parent = stack[-1]
-        bad = tag in _DROP_TAG or bool(both.strip() and _BAD.search(both) and tag not in ("html", "body", "article", "main")) or (found.get("role") or "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        # an article's own header holds its headline
+        fixed = tag in _DROP_TAG and not (tag == "header" and any(x.tag in ("article", "main") for x in stack))
+        fixed |= (found.get("role") or "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        named = bool(both.strip()) and tag not in ("html", "body", "article", "main") and surrounds(both)
         path = f"{parent.path}/{tag}" + ("." + _DIGITS.sub("#", ".".join(sorted(name.split()))) if name else "")
         hint = (tag in ("article", "main")) + bool(both.strip() and _GOOD.search(both))
-        node = _Node(tag, path, parent, parent.dropped or bad, hint, len(nodes))
+        node = _Node(tag, path, parent, fixed, named, hint, len(every))
         stack.append(node)
+        every.append(node)
         if tag in _CONTAINER:
             nodes.append(node)
     text.append(page[at:])
     flush()
-    return nodes, blocks
+
+    # a name alone drops no element that holds an article, a headline or much of the page's text
+    for _, size, linked, node in blocks:
+        node.worth += size - linked
+    for node in reversed(every[1:]):
+        node.parent.worth += node.worth
+        node.parent.holds |= node.holds or node.tag in ("article", "main", "h1")
+    for node in every[1:]:
+        node.dropped = node.parent.dropped or node.fixed or (node.named and not node.holds and node.worth <= MOST * root.worth)
+    return nodes, [b for b in blocks if not b[3].dropped]
 
 
 def _best(nodes, blocks) -> _Node | None:
-    """Highest score: own text in full, deeper text at a discount for each container passed, links off, hints on."""
+    """Highest score: own text in full, deeper text at a discount for each container passed, links off, hints on; the first of equals."""
     score: dict[_Node, float] = {}
-    for _, size, linked, node, dropped in blocks:
-        if dropped:
-            continue
+    for _, size, linked, node in blocks:
         worth = max(0.0, size - 2.0 * linked)
         while node is not None:
             if node.tag in _CONTAINER or node.parent is None:
@@ -147,9 +181,14 @@ def _inside(node: _Node, top: _Node) -> bool:
 
 def best_path(page: str) -> tuple[str, int] | None:
     """Path of a page's best container and its number of characters."""
-    nodes, blocks = _parse(page, exact=False)
+    nodes, blocks = _parse(page)
     best = _best(nodes, blocks)
-    return best and (best.path, sum(b[1] for b in blocks if not b[4] and _inside(b[3], best)))
+    return best and (best.path, sum(b[1] for b in blocks if _inside(b[3], best)))
+
+
+def _text(blocks) -> str:
+    lines = (" ".join(H.unescape(b[0]).split()) for b in blocks)
+    return "\n".join(x for x in lines if x)
 
 
 def extract(page: str, paths: list[str]) -> str:
@@ -157,11 +196,11 @@ def extract(page: str, paths: list[str]) -> str:
     nodes, blocks = _parse(page)
     for path in paths:
         tops = [n for n in nodes if n.path == path and not n.dropped]
-        text = "\n".join(b[0] for b in blocks if not b[4] and any(_inside(b[3], t) for t in tops)) if tops else ""
+        text = _text(b for b in blocks if any(_inside(b[3], t) for t in tops)) if tops else ""
         if text:
             return text
     best = _best(nodes, blocks)
-    return "\n".join(b[0] for b in blocks if not b[4] and _inside(b[3], best)) if best else ""
+    return _text(b for b in blocks if _inside(b[3], best)) if best else ""
 
 
 def host(url) -> F.Column:
@@ -187,8 +226,10 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html", share: fl
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """One row per page: page_id, url and the main text (empty if none) in column `out`.
 
-    Null and empty pages give an empty text. Pages without a host vote together. Rows that repeat a
-    page_id are extracted each. An empty table gives an empty table.
+    Null and empty pages give an empty text. Pages without a host vote together. Of containers that score
+    alike the first wins, of paths with equal votes the first in code point order. Rows that repeat a
+    page_id are extracted and vote each. A very long page is held once per task; nothing of it is cut.
+    Other columns are not looked at, whatever their names. An empty table gives an empty table.
     """
     winners = materialise(host_paths(pages, url, html))
 

@@ -91,17 +91,18 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _levels(token: np.ndarray, bounds: np.ndarray, order: int, bits: int):
     """For each length n the positions at which an n-gram ends (start and words) and the keys of these n-grams, in `bits` bits."""
-    gram, where = token, np.arange(len(token))
-    yield where, gram
+    gram = token
+    yield np.arange(len(token), dtype=np.int32), gram
     first = bounds[:-1]
-    inside = np.arange(len(token)) - np.repeat(first, np.diff(bounds))
+    inside = np.arange(len(token), dtype=np.int32) - np.repeat(first.astype(np.int32), np.diff(bounds))
     for n in range(2, order + 1):
         before = np.empty_like(gram)
         before[1:] = gram[:-1]
         if n == 2:
             before[first] = _START
         gram = X.mix(before * _PAIR + token)
-        where = np.flatnonzero(inside >= n - 2)
+        del before
+        where = np.flatnonzero(inside >= n - 2).astype(np.int32)
         yield where, gram[where] >> X.U64(64 - bits)
 
 
@@ -110,7 +111,7 @@ class _Grams:
 
     def __init__(self, where: np.ndarray, keys: np.ndarray, training: np.ndarray, starts: int | None):
         self.keys, place, self.which = np.unique(keys, return_index=True, return_inverse=True)
-        self.place = where[place]
+        self.place, self.which = where[place], self.which.astype(np.int32)
         self.own = np.bincount(self.which[training[where]], minlength=len(self.keys)).astype(np.uint32)
         if starts is not None:  # texts in training follow the start; it stands among the words
             at = int(np.searchsorted(self.keys, _START))
@@ -212,19 +213,20 @@ class Automaton:
             below.append(suffix)
             depth.append(np.full(len(count), k, dtype=np.int8))
             where, grams = levels[k]
-            before = np.empty(size, dtype=np.int64)
-            before[1:] = gram[:-1]
-            if k == 1:
-                before[bounds[:-1]] = words.start
-            context, tail = before[grams.place], gram[grams.place]
+            place, grams.place = grams.place, None
+            context, tail = gram[np.maximum(place, 1) - 1], gram[place]
+            if k == 1:  # at a text's first word the context is the start
+                opening = np.zeros(size + 1, dtype=bool)
+                opening[bounds[:-1]] = True
+                context = np.where(opening[place], words.start, context)
             p = (counts[k] + priors[k - 1] * p[tail]) / (count[context] + priors[k - 1])
             base += len(count)
-            self.arc[k][where] = np.where(counts[k] > 0, base + np.arange(len(grams.keys)), -1)[grams.which]
+            self.arc[k][where] = np.where(counts[k] > 0, base + np.arange(len(grams.keys)), -1).astype(np.int32)[grams.which]
             suffix = state[tail]
             state = np.where((counts[k] > 0) & (k < self.order - 1), 1 + base + np.arange(len(grams.keys)), suffix)
             weight.append(np.log10(p))
             target.append(state)
-            gram = np.zeros(size, dtype=np.int64)
+            gram = np.zeros(size, dtype=np.int32)
             gram[where] = grams.which
             count = counts[k]
         self.weight, self.target = np.concatenate(weight), np.concatenate(target)
@@ -276,10 +278,12 @@ def _score(docs: pa.Table, answers: pa.Table, priors: tuple[float, ...], bits: i
     for k, (_, grams) in enumerate(levels):
         parts = [_unplanes(others[int(i)].as_py(), np.uint64) for i in told if shard[i] // ranges == k]
         counts.append((grams.own + np.concatenate(parts)).astype(np.float64))
+        grams.own = None
     n, v = int(answers.column("n").to_numpy().sum()), int(answers.column("v").to_numpy().sum())
     length = np.diff(bounds)
-    model = Automaton(bounds, levels, counts, n, v, priors)
     word, first = levels[0][1].which, bounds[:-1]
+    model = Automaton(bounds, levels, counts, n, v, priors)
+    del levels, counts
     out = [
         docs.column("doc_id"),
         pa.array(~docs.column("learn").to_numpy().astype(bool)),
@@ -290,7 +294,7 @@ def _score(docs: pa.Table, answers: pa.Table, priors: tuple[float, ...], bits: i
         pa.array(model.traverse()),
     ]
     done = pa.Table.from_arrays([c.cast(f.type) for c, f in zip(out, _SCORED_PA)], schema=_SCORED_PA)
-    del model, levels, counts, word
+    del model, word
     trim()
     return done
 

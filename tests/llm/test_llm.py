@@ -421,6 +421,38 @@ def test_extraction(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+LONG = "a sentence of the article that is long enough to count for something, and goes on. "
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-methods", "article-header", "football-news", "post category-football", "content no-sidebar", "content-with-sidebar", "layout has-sidebar", "entry social", "tagline", "menus-of-antiquity"])
+def test_names_that_belong_to_articles(name):
+    page = f'<body><nav>menu</nav><article><h1>Head</h1><p>{LONG}</p><div class="{name}"><h2>More</h2><p>{LONG}</p></div></article></body>'
+    assert html_text.extract(page, []) == f"Head\n{LONG.strip()}\nMore\n{LONG.strip()}"
+    assert html_text.extract(f'<body><div class="{name}"><article><p>{LONG}</p></article></div></body>', []) == LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["ad", "adBanner", "cookie-notice", "comment-list", "reader-comments", "left-sidebar", "site-header", "footer", "newsletter-signup", "share-buttons", "related-posts", "search-form", "promo", "widget_area", "breadcrumbs"])
+def test_names_around_articles(name):
+    page = f'<body><article><h1>Head</h1><p>{LONG * 3}</p><div class="{name}"><p>Not this.</p></div><p>{LONG}</p></article><div id="{name}">Nor this.</div></body>'
+    assert html_text.extract(page, []) == f"Head\n{(LONG * 3).strip()}\n{LONG.strip()}"
+    # a name alone drops neither an article nor most of a page
+    assert html_text.extract(f'<body><div class="{name}"><article><p>{LONG}</p></article></div></body>', []) == LONG.strip()
+    assert html_text.extract(f'<body><div class="{name}"><p>{LONG}</p></div><p>x</p></body>', []).startswith(LONG.strip())
+
+
+def test_consensus_outvotes_a_page(spark):
+    """Most pages of a host keep their text in one place; a page whose comments are longer follows them."""
+    page = '<body><div class="a"><p>{}</p></div><div class="b"><p>{}</p></div></body>'
+    rows = [(i, "http://h.example/1", page.format(LONG * 4, "short")) for i in range(30)] + [(30, "http://h.example/2", page.format(LONG, LONG * 9))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    # brute force: the path that most pages vote for
+    votes = Counter(html_text.best_path(h)[0] for _, _, h in rows)
+    top = [p for p, n in votes.most_common() if n >= html_text.SHARE * len(rows)]
+    assert got == {i: html_text.extract(h, top) for i, _, h in rows}
+    assert got[30] == LONG.strip()
+
+
 @needs_data
 def test_pages_give_their_documents(spark):
     known = {r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
