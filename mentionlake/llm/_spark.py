@@ -2,43 +2,88 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
+import re
+import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table that is sent to every executor: rows are counted first, and each row has a bounded width.
-BROADCAST_ROWS = 100_000
+#: Largest table that is sent to every executor: its rows and their bytes are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for cut lineage; one of our own only where none is set, as in tests."""
+    """The cluster's folder for cut lineage; one of our own only where none is set and all runs on one machine, as in
+    tests. Executors elsewhere couldn't read it, so a cluster without a folder is an error."""
     have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if have:
         return have
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get() if own.isDefined() else _own_folder()
+    if own.isDefined():
+        return own.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 @functools.cache
 def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="mentionlake-shared-")
+    path = tempfile.mkdtemp(prefix="mentionlake-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001 - the session has ended, and its folder with it
+        pass
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: lineage is cut and survives lost executors."""
+    """Writes a table into the shared folder and reads it back: lineage is cut and survives lost executors. The
+    table stays until the driver's program ends, since plans built on it are lazy; `discard` removes it earlier."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[id(out)] = path
+    weakref.finalize(out, _places.pop, id(out), None)
+    return out
+
+
+_places: dict[int, str] = {}
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that `materialise` returned and that no plan still to be run reads."""
+    path = _places.get(id(df))
+    if path:
+        _remove(df.sparkSession, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of `df` bears, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-#: Rows in an Arrow batch of texts: texts may be long, and a batch is held whole on both sides.
+#: Texts of an Arrow batch that are worked on together; Spark's own settings bound the batch.
 TEXT_BATCH = 1_000
 
 
@@ -53,14 +98,13 @@ def trim() -> None:
 
 def text_udf(spark: SparkSession, kind: str, work: Callable[[pa.Array], pa.Array], done: Callable[[], None] = trim):
     """An Arrow function over one text column, in bounded batches; `done` runs at the end of a task.
-    The session's batch size is lowered to ``TEXT_BATCH`` where it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= TEXT_BATCH:
-        spark.conf.set(key, TEXT_BATCH)
+    The texts of a batch are worked on ``TEXT_BATCH`` at a time."""
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield work(part)
+            pieces = [work(part.slice(at, TEXT_BATCH)) for at in range(0, len(part), TEXT_BATCH)]
+            del part
+            yield pa.concat_arrays(pieces) if len(pieces) > 1 else pieces[0] if pieces else work(pa.array([], pa.string()))
         done()
 
     return F.arrow_udf(run, kind)
@@ -73,13 +117,15 @@ def row_key(*names: str) -> F.Column:
 
 
 def with_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", salt: str | None = None, salts: int = 32) -> DataFrame:
-    """Join with a table whose rows are counted first: broadcast up to ``BROADCAST_ROWS``; beyond that
-    a shuffled join whose hot keys are spread over `salts` copies of the small side."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Join with a table whose rows and bytes are counted first: broadcast up to ``BROADCAST_ROWS`` and
+    ``BROADCAST_BYTES``; beyond that a shuffled join whose hot keys are spread over `salts` copies of the small side."""
+    some = small.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*small.columns)))).alias("bytes")).first()
+    if some.n <= BROADCAST_ROWS and (some.bytes or 0) <= BROADCAST_BYTES:
         return df.join(F.broadcast(small), list(keys), how)
+    (name,) = fresh(df.join(small, list(keys)), "salt")
     spread = F.pmod(F.xxhash64(F.col(salt)), F.lit(salts)).cast("int") if salt else (F.rand(7) * salts).cast("int")
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", spread).join(copies, [*keys, "_salt"], how).drop("_salt")
+    copies = small.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn(name, spread).join(copies, [*keys, name], how).drop(name)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -99,7 +145,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = large.filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).filter("u <> v").distinct()
-        now = materialise(small)
+        before, now = now, materialise(small)
+        discard(before)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(after) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

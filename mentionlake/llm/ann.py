@@ -321,7 +321,9 @@ def search(
             n = some[leaf] if len(leaf) else leaf
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begin[leaf] + (np.arange(len(leaf)) + ids) % n if len(leaf) else leaf, pa.int64())], names=["vec_id", "v", "leaf", "cell"])
 
-    asking = materialise(queries.mapInArrow(walk, "query_id long, query long, q array<double>, cell long, leaves array<long>"))
+    # walks cost more than their rows' bytes tell: tasks of a few hundred each
+    wide = queries.repartition(max(1, min(10_000, -(-queries.count() // 512))))
+    asking = materialise(wide.mapInArrow(walk, "query_id long, query long, q array<double>, cell long, leaves array<long>"))
     busy = materialise(asking.groupBy("cell").agg(F.ceil(F.count("*") / queries_at_once).alias("parts")))
     stored = materialise(placed.mapInArrow(seat, "vec_id long, v array<double>, leaf long, cell long"))
     stored = with_small(stored, busy, ["cell"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")

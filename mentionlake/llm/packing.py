@@ -340,8 +340,9 @@ def pack_histogram(spark, demand: Counter, capacity: int = CAPACITY, islands: in
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, **options) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one piece with the id `end`. Rows that repeat a doc_id are packed each on
-    its own. An empty table gives an empty table.
+    Null and empty texts are one piece with the id `end`; very long texts are cut into as many pieces as they
+    need. Rows that repeat a doc_id are packed each on its own, alike pieces taking the places of their length in
+    any order. Other columns are not looked at, whatever their names. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     cut = pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path, "text", "pieces", capacity, end)

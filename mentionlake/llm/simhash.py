@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mentionlake.llm import _text as X
-from mentionlake.llm._spark import components, materialise, row_key, text_udf
+from mentionlake.llm._spark import components, fresh, materialise, row_key, text_udf
 
 RADIUS = 2
 SHINGLE = 3
@@ -179,11 +179,14 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     """One row of each component: of those with the smallest doc_id (null last), one with the smallest digest of its text.
 
     Rows are told apart by doc_id and text, and components by fingerprint: rows that share a doc_id, or have
-    none, and whose texts are not near each other are kept each."""
+    none, and whose texts are not near each other are kept each; rows alike in both are one. Null, empty and
+    word-less texts are near each other. An empty table gives an empty table; the input's own columns pass
+    through, whatever their names."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     classes = materialise(fingerprints(keyed, "text", "fp").select("doc_id", "key", "fp").groupBy("fp").agg(first))
     label = components(materialise(near_pairs(classes, "fp", radius))).select(F.col("node").alias("fp"), "component")
     named = classes.join(label, "fp", "left").select(F.coalesce("component", "fp").alias("component"), "first")
-    keep = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_row_key"))
-    return docs.withColumn("_row_key", row_key(doc_id, text)).join(keep, "_row_key", "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    (name,) = fresh(docs, "row_key")
+    keep = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias(name))
+    return docs.withColumn(name, row_key(doc_id, text)).join(keep, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -338,6 +338,37 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_against_brute_force(spark):
+    """Shards are runs of the order by (hash of the text, doc_id), cut where no other cut is nearer an even share by more than the tolerance."""
+    r = random.Random(6)
+    rows = [(i if i % 9 else None, None if i % 50 == 0 else "w" * int(r.paretovariate(0.9)) + str(r.randint(0, 400))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(df).withColumn("h", sharding.text_key("text")).collect()
+    assert Counter((x.doc_id, x.text) for x in got) == Counter(rows)
+    order = sorted(got, key=lambda x: (x.h, -(2**63) if x.doc_id is None else x.doc_id, x.shard, x.slot))
+    assert [x.shard for x in order] == sorted(x.shard for x in got)
+    for k in range(8):
+        part = [x for x in order if x.shard == k]
+        assert [x.slot for x in part] == list(range(len(part)))
+    below = np.append(0, np.cumsum([x["size"] for x in order]))
+    even = below[-1] / 8
+    for k in range(1, 8):
+        cut = sum(x.shard < k for x in order)
+        assert abs(below[cut] - k * even) <= max(sharding.TOLERANCE * even, np.abs(below - k * even).min())
+
+
+def test_columns_that_clash_pass_through(spark):
+    names = ["id", "size", "taken", "rows", "n", "part", "row_key", "copies", "nth", "share", "copy", "key", "sub", "band", "fine", "inside", "bits", "first", "_id", "_size", "_taken", "_keep", "_key", "_sub", "_row_key", "fp", "shard", "slot", "language", "rules", "_language", "_rules"]
+    rows = [(i, f"text number {i % 30} of some words that are enough of them to be kept by all rules", "ab"[i % 2], "en") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({n: F.lit(f"mine {n}") for n in names})
+    import corpus_pipeline as P
+
+    for made in (mixing.mixed(df), mixing.mixed_whole(df), simhash.deduplicate(df), sharding.shard(df), P.identify_language(spark, df, ""), P.quality(spark, df, "")):
+        replaced = {"size", "shard", "slot"} & set(made.columns) if "slot" in made.columns and made.schema["slot"].dataType.typeName() != "string" else set()
+        got = made.collect()
+        assert got and all(r[n] == f"mine {n}" for r in got for n in names if n not in replaced)
+
+
 def test_hot_group_is_split_and_others_stay_whole(spark):
     r = random.Random(3)
     rows = [(i, "a hot text" if i % 3 == 0 else f"text {r.randint(0, 300)} " + "w" * 5) for i in range(3000)]
