@@ -5,37 +5,49 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mentionlake.llm import langid, mixing, packing, quality_rules, simhash
-from mentionlake.llm._spark import shared_folder
+from mentionlake.llm._spark import fresh, shared_folder
 from mentionlake.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; what the model rejects goes."""
-    names = docs.columns
+    """Keeps documents whose language is recognised; what the model rejects goes, and so do null, empty and letterless texts.
+
+    The model learns from rows that have a lang; where none has, nothing can be told and an error is raised, unless
+    the table is empty and so is the result. Rows that repeat a doc_id, or lack one, are judged each by their own
+    text; other columns pass through, whatever their names."""
     model = langid.fit(docs)
-    return langid.identify(docs, model, out="_language").filter("not _language.rejected").select(names)
+    if model is None and docs.limit(1).count():
+        raise ValueError("no row has both a text and a lang to learn from")
+    (name,) = fresh(docs, "language")
+    return langid.identify(docs, model, out=name).filter(~F.col(name)["rejected"]).select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the repetition rules."""
-    names = docs.columns
-    return quality_rules.quality_rules(docs, out="_rules").filter("_rules.kept").select(names)
+    """Keeps documents that pass the repetition rules. Null, empty and very short texts fail; a long text is measured
+    whole. Each row is judged on its own, so repeated rows fare alike; an empty table gives an empty table; other
+    columns pass through, whatever their names."""
+    (name,) = fresh(docs, "rules")
+    return quality_rules.quality_rules(docs, out=name).filter(F.col(name)["kept"]).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates: that with the smallest doc_id (null last; of several with
+    that id, that with the smallest digest of its text). Nulls, repeated rows and clashes: see `simhash.deduplicate`."""
     return simhash.deduplicate(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and thins out sources to their target weights in whole documents: a row per repetition."""
+    """Repeats and thins out sources to their target weights in whole documents: a row per repetition. A null source is
+    a source of its own; texts without words are left out. Ties, repeated rows and clashes: see `mixing.mixed_whole`."""
     return mixing.mixed_whole(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mixture's tokens: a row per piece."""
+    """Packs the mixture's tokens: a row per piece. Every repetition of a document is packed on its own. Nulls, very
+    long texts, ties and empty tables: see `packing.pack`."""
     return packing.pack(docs, tokenizer_path())
 
 
