@@ -7,7 +7,7 @@ pieces of full length after a first, shorter one.
 
 Pieces of equal length are interchangeable, so the packing problem is the histogram of lengths: at
 most `capacity` numbers whatever the corpus holds. A chromosome is a set of groups: bin contents with
-multiplicities. Crossover injects another parent's fullest bins whole, removes the receiver's bins
+multiplicities. The first one is plain best-fit's, the others are built bin by bin. Crossover injects another parent's fullest bins whole, removes the receiver's bins
 that then hold too many pieces of a length, and best-fits the displaced pieces. Islands evolve in
 separate tasks and pass their elites around a ring between epochs. The winner's bins are laid out as
 runs of sequences, and every piece finds its place by its number within its length; these numbers
@@ -33,9 +33,12 @@ from mentionlake.llm._spark import materialise, text_udf, trim
 CAPACITY = 1024
 END = 2
 ISLANDS = 6
-EPOCHS = 2
+#: Epochs at most, and how many without a better bin count end the search.
+EPOCHS, PATIENCE = 4, 2
 GENERATIONS = 6
 POPULATION = 6
+#: Share of the capacity from which on a bin counts as well filled.
+FULL = 0.995
 SEED = 11
 #: Chunks whose ids one worker keeps; the table is emptied when it is full.
 KEPT_CHUNKS = 250_000
@@ -243,6 +246,46 @@ def best_fit(groups: Counter, loose: Counter, capacity: int, order: list[int] |
     return Counter({g: m for bins in room for g, m in bins.items()})
 
 
+def filled(loose: Counter, capacity: int, rng: random.Random | None = None) -> Counter:
+    """Bins built one after the other: the longest piece left, then the pieces whose lengths add up nearest to the
+    room beside it, found over the bits of one number; each bin as many times as its pieces allow. With `rng` the
+    lengths are tried in another order, so that other sets of pieces with such a sum are found."""
+    left, groups = +loose, Counter()
+    lengths = sorted(left, reverse=True)
+    while left:
+        while not left[lengths[0]]:
+            del left[lengths[0]], lengths[0]
+            if not lengths:
+                return groups
+        top = lengths[0]
+        room = capacity - top
+        mask = (2 << room) - 1
+        some = [n for n in lengths if n <= room and left[n] > (n == top)]
+        if rng:
+            some.sort(key=lambda n: -n * rng.uniform(0.7, 1.0))
+        reach = [1]
+        for n in some:
+            bits = reach[-1]
+            for _ in range(min(left[n] - (n == top), room // n)):
+                more = (bits | bits << n) & mask
+                if more == bits:
+                    break
+                bits = more
+            reach.append(bits)
+            if bits >> room & 1:
+                break
+        at, own = reach[-1].bit_length() - 1, [top]
+        for n, before in zip(reversed(some[: len(reach) - 1]), reversed(reach[:-1])):
+            while not before >> at & 1:
+                own.append(n)
+                at -= n
+        times = min(left[n] // k for n, k in Counter(own).items())
+        groups[tuple(sorted(own, reverse=True))] += times
+        for n in own:
+            left[n] -= times
+    return groups
+
+
 def n_bins(groups: Counter) -> int:
     return sum(groups.values())
 
@@ -257,7 +300,7 @@ def crossover(into: Counter, donor: Counter, capacity: int, demand: Counter, rng
     pieces go, and what they also held is displaced and best-fitted."""
     injected: Counter = Counter()
     for g, m in donor.items():
-        if sum(g) >= 0.995 * capacity and rng.random() < 0.5:
+        if sum(g) >= FULL * capacity and rng.random() < 0.5:
             injected[g] = m
     need = Counter(demand)
     for g, m in injected.items():
@@ -276,31 +319,40 @@ def crossover(into: Counter, donor: Counter, capacity: int, demand: Counter, rng
 
 
 def mutate(groups: Counter, capacity: int, rng: random.Random) -> Counter:
-    """Dissolves the emptiest bins and a few others and best-fits their pieces."""
+    """Dissolves the emptiest bins and a share of the others, builds full bins of their pieces and best-fits the rest."""
     child = Counter(groups)
     loose: Counter = Counter()
     worst = sorted(child, key=lambda g: (sum(g), rng.random()))
-    for g in worst[: max(1, len(worst) // 10)] + rng.sample(worst, max(1, len(worst) // 20)):
+    share = rng.choice((0.02, 0.1, 0.3))
+    for g in worst[: max(1, len(worst) // 20)] + [g for g in worst if rng.random() < share]:
         m = child.pop(g, 0)
+        if m > 1 and sum(g) == capacity:  # a part of a full bin's copies may stay
+            child[g] = rng.randrange(m)
+            m -= child[g]
         for length in g:
             loose[length] += m
-    return best_fit(child, loose, capacity)
+    for g, m in filled(loose, capacity, rng).items():
+        if sum(g) >= FULL * capacity:
+            child[g] += m
+            for length in g:
+                loose[length] -= m
+    return best_fit(child, +loose, capacity)
 
 
 def evolve(population: list[Counter], demand: Counter, capacity: int, generations: int, rng: random.Random, size: int) -> list[Counter]:
+    """The population after some generations, the fewest bins first; the first chromosome is plain best-fit's."""
     lower = -(-sum(k * m for k, m in demand.items()) // capacity)
     rank = lambda g: (n_bins(g), -fitness(g, capacity))
-    while len(population) < size:
-        order = sorted(demand, key=lambda k: -k * rng.uniform(1 - 0.1 * (len(population) > 0), 1))
-        population.append(best_fit(Counter(), demand, capacity, order))
+    population.append(best_fit(Counter(), demand, capacity))
+    while len(population) < size and n_bins(min(population, key=rank)) > lower:
+        population.append(filled(demand, capacity, rng))
     population.sort(key=rank)
     for _ in range(generations):
         if n_bins(population[0]) <= lower:
             break
-        a, b = rng.sample(range(len(population)), 2)
+        a, b = rng.randrange(len(population)), rng.randrange(len(population))
         child = crossover(population[min(a, b)], population[max(a, b)], capacity, demand, rng)
-        population.append(mutate(child, capacity, rng))
-        population.append(child)
+        population += [mutate(child, capacity, rng), mutate(population[0], capacity, rng), child]
         population.sort(key=rank)
         del population[size:]
     return population
@@ -319,6 +371,7 @@ def pack_histogram(spark, demand: Counter, capacity: int = CAPACITY, islands: in
     not by the corpus: one histogram out, one elite back per island and epoch."""
     need = json.dumps(sorted(demand.items()))
     elites: list[str | None] = [None] * islands
+    lower, fewest, idle = -(-sum(k * m for k, m in demand.items()) // capacity), None, 0
     for epoch in range(epochs):
         rows = [(i, [e for e in {elites[i], elites[i - 1]} if e]) for i in range(islands)]  # the ring
 
@@ -332,7 +385,10 @@ def pack_histogram(spark, demand: Counter, capacity: int = CAPACITY, islands: in
         df = spark.createDataFrame(rows, "island long, seeds array<string>").repartition(islands, "island")
         elites = [r.elite for r in sorted(df.mapInArrow(island, "island long, elite string").collect())]
         best = min(elites, key=lambda e: (n_bins(_load(e)), -fitness(_load(e), capacity)))
-        if n_bins(_load(best)) <= -(-sum(k * m for k, m in demand.items()) // capacity):
+        now = n_bins(_load(best))
+        idle = idle + 1 if fewest is not None and now >= fewest else 0
+        fewest = now if fewest is None else min(now, fewest)
+        if fewest <= lower or idle >= PATIENCE:
             break
     return _load(best)
 

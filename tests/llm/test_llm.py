@@ -251,6 +251,21 @@ def test_genetic_steps_keep_all_pieces(seed):
     assert packing.n_bins(found[0]) <= packing.n_bins(packing.best_fit(Counter(), demand, 100))
 
 
+@pytest.mark.parametrize("lengths", [(200, 700), (300, 420), None])
+def test_evolution_beats_its_first_chromosome(lengths):
+    """Hard histograms: halves and thirds of a bin, and a few lengths of which many exact sums exist."""
+    r = random.Random(1)
+    some = [r.choice([257, 259, 341, 343, 511, 513, 170, 171, 128, 205]) if lengths is None else r.randint(*lengths) for _ in range(2000)]
+    demand = Counter(some)
+    count = lambda bins: sum((Counter({k: m * n for k, m in Counter(g).items()}) for g, n in bins.items()), Counter())
+    made = packing.filled(demand, 1024, r)
+    assert count(made) == demand and all(sum(g) <= 1024 for g in made)
+    found = packing.evolve([], demand, 1024, packing.GENERATIONS, r, packing.POPULATION)[0]
+    assert count(found) == demand and all(sum(g) <= 1024 for g in found)
+    assert -(-sum(some) // 1024) <= packing.n_bins(found) < packing.n_bins(packing.best_fit(Counter(), demand, 1024))
+    assert packing.filled(Counter(), 1024) == Counter()
+
+
 # 5 mixing
 
 
