@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 EXTRA = 64
 LENGTHS = (1, 2, 4)
 #: Labelled rows of each class that training reads at most (in expectation).
-PER_CLASS = 2_000
+PER_CLASS = 4_000
 EPOCHS = 12
 PENALTY = 1.0
 BETA = 0.6
@@ -144,10 +144,13 @@ def train(texts: pa.Array, label: np.ndarray, held: np.ndarray, buckets: int = B
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", may_learn: str = "true", per_class: int = PER_CLASS, **options) -> Model | None:
     """A model from documents with a label for which the SQL condition `may_learn` holds. The sample is drawn from
-    the labels, so what is sent to the documents is bounded by `per_class`. None if there is nothing to learn from."""
+    the labels, so what is sent to the documents is bounded by `per_class`. Several labels of a document count as the largest;
+    a document's label without a text is not used. None if there is nothing to learn from."""
     known = labels.filter(F.expr(may_learn) & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
     some = sample_by_label(known, "_y", "_id", per_class).groupBy("_id").agg(F.max("_y").alias("_y"))
-    got = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(some), "_id")
+    # documents that repeat a doc_id give the label one text, the first by its hash: the sample keeps its bound
+    texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(some), "_id")
+    got = texts.groupBy("_id").agg(F.min_by(F.struct("t", "_y"), F.struct(F.xxhash64("t"), F.length("t"))).alias("x")).select("_id", "x.*")
     got = got.withColumn("held", F.pmod(F.xxhash64("_id", F.lit(8)), F.lit(5)) == 0).orderBy(F.xxhash64("_id"), F.xxhash64("t")).toArrow()
     if not got.num_rows:
         return None
@@ -156,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the score (0 to 1, likelier label 1 the higher) as column `out`, which is replaced if it exists.
-    Null and empty texts are scored as having no n-grams; without a model every score is 0.5."""
+    Null and empty texts are scored as having no n-grams; without a model every score is 0.5. A very long text is
+    read whole. Repeated rows get equal scores; an empty table gives an empty table; other columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(column: pa.Array) -> pa.Array:

@@ -25,7 +25,7 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 LENGTHS = (2, 3, 4)
 #: Labelled rows of each language that training reads at most (in expectation).
-PER_LANGUAGE = 1_000
+PER_LANGUAGE = 1_500
 EPOCHS = 6
 #: A small sample is read more often, until so many documents have been seen.
 MIN_STEPS = 8_000
@@ -136,12 +136,13 @@ def train(texts: pa.Array, labels: list[str], held: np.ndarray, epochs: int = EP
         p = _softmax(z / model.temperature)
         right = p.argmax(axis=1) == t
         if right.any():
-            model.floor = float(min(0.5, np.quantile(p.max(axis=1)[right], LOST)))
+            model.floor = float(np.quantile(p.max(axis=1)[right], LOST))
     return model
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", may_learn: str = "true", per_language: int = PER_LANGUAGE, **options) -> Model | None:
-    """A model from rows with text and lang for which the SQL condition `may_learn` holds; None if there are none."""
+    """A model from rows with text and lang for which the SQL condition `may_learn` holds; None if there are none.
+    Rows that repeat a doc_id are sampled together; of the sample, rows are read in an order that ties don't change."""
     known = docs.filter(F.expr(may_learn) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     some = sample_by_label(known, lang, doc_id, per_language)
     got = some.select(F.col(text).alias("t"), F.col(lang).alias("l"), (F.pmod(F.xxhash64(doc_id, F.lit(9)), F.lit(5)) == 0).alias("held")).orderBy(F.xxhash64(doc_id), F.xxhash64(text)).toArrow()
@@ -170,7 +171,9 @@ PREDICTION = "struct<lang_pred:string,score:double,rejected:boolean>"
 def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language") -> DataFrame:
     """Adds the struct column `out` (replaced if it exists): lang_pred, score, rejected.
 
-    Null, empty and letterless texts are `und` with score 0 and rejected; without a model every text is.
+    Null, empty and letterless texts are `und` with score 0 and rejected; without a model every text is. Of languages
+    that score alike the first by name is predicted. A very long text is read whole. Repeated rows get equal results;
+    an empty table gives an empty table; other columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
