@@ -46,13 +46,24 @@ def normalize_text(text) -> Column:
     return F.array_join(F.transform(split_tokens(text), normalize_token), " ")
 
 
+#: What separates words: Unicode's white space and the information separators.
+SPACE = r"(?U)[\s\x1c-\x1f]+"
+
+
+def casefold(text) -> Column:
+    """Full case folding out of case mappings: sharp s is ss, every sigma one letter; the dotless i stays."""
+    x = F.replace(F.lower(_c(text)), F.lit("\u0131"), F.lit("\ue131"))
+    return F.translate(F.lower(F.upper(x)), "\u03c2\ue131", "\u03c3\u0131")
+
+
 def fold(text) -> Column:
-    """Lower case with white space runs as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), r"(?U)\s+", " "))
+    """Case-folded, with white space runs as single spaces."""
+    return F.trim(F.regexp_replace(casefold(F.coalesce(_c(text), F.lit(""))), SPACE, " "))
 
 
 def jaccard_tokens(text) -> Column:
-    return F.array_distinct(F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0)))
+    """Distinct words of the folded text, cut at white space only."""
+    return F.array_remove(F.array_distinct(F.split(fold(text), " ")), "")
 
 
 def token_jaccard(left, right) -> Column:
@@ -62,23 +73,23 @@ def token_jaccard(left, right) -> Column:
 
 
 def has_parenthetical_relation(left, right) -> Column:
-    """1.0 if either text stands in innermost parentheses of the other."""
+    """1.0 if either text stands in innermost parentheses of the other; empty parentheses hold the empty text."""
 
     def inside(outer: Column, inner: Column) -> Column:
-        return F.exists(F.regexp_extract_all(F.coalesce(outer, F.lit("")), F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: (fold(x) == fold(inner)) & (fold(inner) != ""))
+        return F.exists(F.regexp_extract_all(F.coalesce(outer, F.lit("")), F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda x: fold(x) == fold(inner))
 
     return F.when(inside(_c(left), _c(right)) | inside(_c(right), _c(left)), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
 def abbreviation_key(text) -> Column:
     """Short form without dashes and white space; case stays."""
-    return F.regexp_replace(F.trim(F.coalesce(_c(text), F.lit(""))), r"(?U)[\-‐-―−\s]", "")
+    return F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?U)[\-\u2010-\u2014\u2212\s\x1c-\x1f]", "")
 
 
 def abbreviation_variants(key) -> Column:
-    """The key, and the key with its final s removed or added."""
+    """The key, and the key with its final s removed or added; a lone s gets one more."""
     k = _c(key)
-    other = F.when(k.endswith("s"), _but(k, 1)).otherwise(F.concat(k, F.lit("s")))
+    other = F.when(k.endswith("s") & (F.length(k) > 1), _but(k, 1)).otherwise(F.concat(k, F.lit("s")))
     return F.filter(F.array_distinct(F.array(k, other)), lambda x: x != "")
 
 

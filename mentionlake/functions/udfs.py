@@ -20,24 +20,14 @@ def _folded(text: str) -> str:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Similarity of two folded texts by matching blocks, the first against the second; 0 if either is empty."""
-    out = []
-    for a, b in zip(left, right):
-        a, b = _folded(a or ""), _folded(b or "")
-        out.append(difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0)
-    return pd.Series(out, dtype="float64")
+    """Similarity of two folded texts by matching blocks, the first against the second; two empty texts are alike."""
+    return pd.Series([difflib.SequenceMatcher(None, _folded(a or ""), _folded(b or "")).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def key_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Similarity of two abbreviation keys, case-sensitive."""
-    return pd.Series([difflib.SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype="float64")
-
-
-@F.pandas_udf(T.StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    """Full case folding, where lower case is not enough."""
-    return pd.Series([None if t is None else _folded(t) for t in text], dtype=object)
+    """Similarity of two abbreviation keys, case-sensitive; 0 if either is empty."""
+    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)], dtype="float64")
 
 
 _SPACED = re.compile(r"\S+")

@@ -46,11 +46,12 @@ def _norm_sql(x: str) -> str:
 
 
 def _jaccard_sql(a: str, b: str) -> str:
-    ta, tb = (f"list_distinct({_tokens_sql(_fold_sql(x))})" for x in (a, b))
+    """Words between white space of the folded texts, as sets."""
+    ta, tb = (rf"list_distinct(regexp_extract_all({_fold_sql(x)}, '\S+'))" for x in (a, b))
     return f"(CASE WHEN len({ta}) = 0 OR len({tb}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({ta}, {tb})) AS DOUBLE) / len(list_distinct(list_concat({ta}, {tb}))) END)"
 
 
-KEY_SQL = r"regexp_replace(trim({x}), '[-\x{2010}-\x{2015}\x{2212}\s]', '', 'g')"
+KEY_SQL = r"regexp_replace(trim({x}), '[-\x{2010}-\x{2014}\x{2212}\s]', '', 'g')"
 
 
 def _key_sql(x: str) -> str:
@@ -91,17 +92,29 @@ def plural_variants(spark, sf_dir):
     return p.select("p_partkey", X.normalize_text(F.concat(F.lit("bodies "), "p_name", F.lit("s, viruses classes"))).alias("name"))
 
 
-@query(f"SELECT p_partkey, round({_jaccard_sql('p_name', chr(39) + 'small red ' + chr(39) + ' || p_type')}, 9) AS jaccard FROM part")
+# hyphens, plus signs and digits stay inside words; case folds
+_LEFT = "p_name || CASE WHEN p_size % 3 = 0 THEN '-Cell CD' || (p_size % 4) || '+' ELSE '  cell, x' END"
+_RIGHT = "upper(p_name) || CASE WHEN p_size % 2 = 0 THEN ' cell cd' || (p_size % 4) ELSE '-cell CD0+' END || ' ' || p_type"
+
+
+@query(f"SELECT p_partkey, round({_jaccard_sql('l', 'r')}, 9) AS jaccard FROM (SELECT p_partkey, {_LEFT} AS l, {_RIGHT} AS r FROM part)")
 def token_jaccard(spark, sf_dir):
-    p = _t(spark, sf_dir, "part")
-    return p.select("p_partkey", F.round(X.token_jaccard("p_name", F.concat(F.lit("small red "), "p_type")), 9).alias("jaccard"))
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_LEFT).alias("l"), F.expr(_RIGHT).alias("r"))
+    return p.select("p_partkey", F.round(X.token_jaccard("l", "r"), 9).alias("jaccard"))
+
 
+_OUTER = "CASE WHEN p_size % 5 = 0 THEN 'x ()' WHEN p_size % 5 = 1 THEN p_name ELSE p_name || ' (x ( ' || CASE WHEN p_size % 2 = 0 THEN upper(p_brand) ELSE lower(p_type) END || ') y) (z)' END"
+_INNER = "CASE WHEN p_size % 10 = 0 THEN ' ' WHEN p_size % 7 = 0 THEN 'b (' || p_name || ')' WHEN p_size % 3 = 0 THEN p_type ELSE p_brand END"
 
-@query("""SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS related FROM part""")
+
+def _inside_sql(outer: str, inner: str) -> str:
+    return rf"list_contains(list_transform(regexp_extract_all({outer}, '\(([^()]*)\)', 1), lambda x: {_fold_sql('x')}), {_fold_sql(inner)})"
+
+
+@query(f"SELECT p_partkey, CAST(CASE WHEN {_inside_sql('a', 'b')} OR {_inside_sql('b', 'a')} THEN 1 ELSE 0 END AS DOUBLE) AS related FROM (SELECT p_partkey, {_OUTER} AS a, {_INNER} AS b FROM part)")
 def parenthetical(spark, sf_dir):
-    p = _t(spark, sf_dir, "part")
-    outer = F.concat("p_name", F.lit(" (x (") , F.when(F.col("p_size") % 2 == 0, F.upper("p_brand")).otherwise(F.lit("other")), F.lit("))"))
-    return p.select("p_partkey", X.has_parenthetical_relation(outer, "p_brand").alias("related"))
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.expr(_OUTER).alias("a"), F.expr(_INNER).alias("b"))
+    return p.select("p_partkey", X.has_parenthetical_relation("a", "b").alias("related"))
 
 
 @query(rf"""SELECT conv_id, turn, md5(regexp_replace({_fold_sql('text')}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS digest FROM conversations""")
