@@ -40,25 +40,31 @@ def as_map(infons) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.try_element_at(F.filter(named, lambda x: x["key"] == k), F.lit(-1))["value"]))
 
 
+def upsert_all(infons, pairs: Column) -> Column:
+    """Sets an array of (key, value) in turn: the first entry of a present key changes in place, a new key goes to the front."""
+    kind = "array<struct<key:string,value:string>>"
+
+    def one(now: Column, pair: Column) -> Column:
+        at = F.array_position(F.transform(now, lambda x: x["key"]), pair["key"])
+        return F.when(at > 0, F.transform(now, lambda x, i: F.when(i + 1 == at, pair).otherwise(x))).otherwise(F.concat(F.array(pair), now)).cast(kind)
+
+    return F.aggregate(pairs.cast(kind), _c(infons).cast(kind), one)
+
+
 def upsert(infons, new: list[tuple[str, Column]]) -> Column:
-    """Sets values in turn: a present key keeps its place, a new one goes to the front."""
-    out = _c(infons)
-    for key, value in new:
-        pair = _pair(key, value)
-        present = F.exists(out, lambda x: x["key"] == key)
-        replaced = F.transform(out, lambda x: F.when(x["key"] == key, pair).otherwise(x))
-        out = F.when(value.isNull(), out).when(present, replaced).otherwise(F.concat(F.array(pair), out))
-    return out
+    """`upsert_all` of keys and values; a null value changes nothing."""
+    return upsert_all(infons, F.filter(F.array(*[_pair(k, v) for k, v in new]), lambda x: x["value"].isNotNull()))
 
 
 def drop_suffixes(infons, suffixes: list[str]) -> Column:
     return F.filter(_c(infons), lambda x: ~F.coalesce(x["key"].rlike("(?:" + "|".join(suffixes) + ")$"), F.lit(False)))
 
 
-#: What a linker writes and an evaluation input must not carry: patterns of key endings.
+#: Endings of the keys that a linker writes and an evaluation input must not carry: those of the best candidate. What
+#: it says of lower ranks, of aliases and of the normalised text stays, as does the gold identifier.
 PREDICTED = [
-    r"_id_\d+", r"_identifier_name_\d+", r"_identifier_score_\d+", r"_embedding_score_\d+", r"_matched_alias_\d+", r"_match_source",
-    r"_abbreviation_method", r"_expanded_long_form", r"_matched_key", r"_match_score", "normalized_text",
+    "_id_0", "_identifier_name_0", "_identifier_score_0", "_embedding_score_0", "_preferred_label_0", "_match_source",
+    "_abbreviation_method", "_expanded_long_form", "_ab3p_method", "_ab3p_matched_key", "_ab3p_match_score",
 ]
 
 

@@ -177,5 +177,16 @@ def score_text(score, digits: int = 8) -> Column:
     return F.format_string(f"%.{digits}f", _c(score).cast("double"))
 
 
+def significant(number) -> Column:
+    """Six significant digits without trailing zeros, and an exponent under 1e-4 and from a million on."""
+    x = _c(number).cast("double")
+    e = F.format_string("%.5e", x)
+    power = F.regexp_extract(e, r"e([+-]\d+)$", 1).try_cast("int")
+    plain = F.regexp_replace(F.regexp_replace(e.try_cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    short = F.regexp_replace(F.regexp_replace(e, r"0+(e[+-]\d+)$", "$1"), r"\.(e[+-]\d+)$", "$1")
+    finite = F.when(x == 0, F.lit("0")).when((power >= -4) & (power < 6), plain).otherwise(short)
+    return F.when(F.isnan(x), F.lit("nan")).when(F.abs(x) == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf"))).otherwise(finite)
+
+
 def file_safe(text) -> Column:
     return F.regexp_replace(F.trim(_c(text)), r"[^A-Za-z0-9._-]+", "_")

@@ -44,17 +44,19 @@ def document_long_forms(texts: DataFrame) -> DataFrame:
 def match_keys(mentions: DataFrame, table: DataFrame, encoder=None) -> DataFrame:
     """Key of the abbreviation table that each abbreviation-like mention matches: matched_key, method, key_score.
 
-    An exact key (or plural variant) first; else, with an encoder, the nearest key at or over the
-    threshold of the mention key's length."""
+    A key whose threshold is 1 (four characters and less) matches itself alone. A longer one matches the nearest
+    key by the encoder at or over its threshold: itself, if the table has it."""
     from mentionlake.encoders import encode
     from mentionlake.operators.linking import retrieve
 
     m = mentions.select("mention_text").distinct().filter(X.is_abbreviation_like("mention_text")).withColumn("key", X.abbreviation_key("mention_text"))
     known = keys(table).select(F.col("key").alias("matched_key"))
-    exact = m.join(known, F.col("key") == F.col("matched_key")).select("mention_text", "matched_key", F.lit("exact_short_abbreviation").alias("method"), F.lit(1.0).alias("key_score"))
+    method = F.when(X.abbreviation_threshold("key") == 1.0, "exact_short_abbreviation").otherwise("encoder_abbreviation_match")
+    exact = m.join(known, F.col("key") == F.col("matched_key")).select("mention_text", "matched_key", method.alias("method"), F.lit(1.0).alias("key_score"))
     if encoder is None:
         return exact
-    rest = m.join(exact.select("mention_text"), "mention_text", "left_anti").withColumn("query_idx", F.xxhash64("mention_text"))
+    long_ = m.filter(X.abbreviation_threshold("key") < 1.0)
+    rest = long_.join(exact.select("mention_text"), "mention_text", "left_anti").withColumn("query_idx", F.xxhash64("mention_text"))
     vectors = encode(rest, encoder, "key", "vector")
     numbered = encode(known.withColumn("term_idx", F.xxhash64("matched_key")), encoder, "matched_key", "vector")
     near = retrieve(vectors, numbered, 1).join(numbered.select("term_idx", "matched_key"), "term_idx").join(rest, "query_idx")
@@ -62,6 +64,22 @@ def match_keys(mentions: DataFrame, table: DataFrame, encoder=None) -> DataFrame
     return exact.unionByName(near.select("mention_text", "matched_key", F.lit("encoder_abbreviation_match").alias("method"), (F.col("score") + 1).alias("key_score")))
 
 
+def detector_pairs(found) -> list[tuple[str, str]]:
+    """(short form, long form) of what a detector returns: a mapping, or a list of pairs, mappings or objects; blanks go."""
+    names = (("short_form", "short", "abbr", "abbreviation"), ("long_form", "long", "expansion"))
+
+    def of(x) -> tuple:
+        if isinstance(x, dict):
+            return tuple(next((x[k] for k in some if x.get(k)), "") for some in names)
+        if isinstance(x, (list, tuple)):
+            return tuple(x[:2]) if len(x) > 1 else ("", "")
+        return tuple(next((getattr(x, k) for k in some[:2] if hasattr(x, k)), "") for some in names)
+
+    rows = found.items() if isinstance(found, dict) else map(of, found) if isinstance(found, list) else ()
+    clean = [(str(a).strip(), str(b).strip()) for a, b in rows]
+    return [(a, b) for a, b in clean if a and b]
+
+
 def expand(wanted: DataFrame, long_forms: DataFrame) -> DataFrame:
     """Long form of (document_key, matched_key): exact key, else plural variant, else the most similar key at or over
     the threshold. Adds expanded_long_form, long_form_method, long_form_key, long_form_score."""

@@ -38,10 +38,14 @@ def decode(tokens: DataFrame, sample: Sequence[str] = ("sample_id",), order: str
     w = Window.partitionBy(*sample).orderBy(order)
     new = F.col("_l").isNotNull() & ((F.col("_p") == "B") | ~F.lag("_l").over(w).eqNullSafe(F.col("_l")))
     t = t.withColumn("_n", new.cast("int")).withColumn("_island", F.sum("_n").over(w)).filter("_l is not null")
-    out = t.groupBy(*sample, "_island").agg(F.min_by("_l", order).alias("label"), F.min(start).alias("start"), F.max_by(end, order).alias("end"))
+    out = t.groupBy(*sample, "_island").agg(F.min_by("_l", order).alias("label"), F.min(start).alias(start), F.max_by(end, order).alias(end))
     return out.drop("_island")
 
 
+#: Positions in a bucket of the join of tokens and entities.
+OWNER_BUCKET = 256
+
+
 def owners(tokens: DataFrame, entities: DataFrame, sample: Sequence[str] = ("sample_id",), alignment: str = "expand", overlap: str = "last") -> DataFrame:
     """Entity that owns each token: `tokens` sample, start, end; `entities` sample, ent_idx, start, end, label.
 
@@ -49,7 +53,10 @@ def owners(tokens: DataFrame, entities: DataFrame, sample: Sequence[str] = ("sam
     if alignment not in ("expand", "skip", "strict") or overlap not in ("last", "error"):
         raise ValueError("alignment is expand, skip or strict; overlap is last or error")
     e = entities.select(*sample, "ent_idx", F.col("start").alias("e_start"), F.col("end").alias("e_end"), "label")
-    hit = tokens.filter(F.col("end") > F.col("start")).join(e, list(sample)).filter("start < e_end and e_start < end")
+    # both sides are filed under the buckets of positions they touch; a pair counts where the later of the two starts
+    wide = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / OWNER_BUCKET), F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / OWNER_BUCKET)))
+    hit = tokens.filter(F.col("end") > F.col("start")).withColumn("_b", wide("start", "end")).join(e.withColumn("_b", wide("e_start", "e_end")), [*sample, "_b"])
+    hit = hit.filter("start < e_end and e_start < end").filter(F.col("_b") == F.floor(F.greatest("start", "e_start") / OWNER_BUCKET)).drop("_b")
     if alignment != "expand":
         cut = F.max((F.col("start") < F.col("e_start")) | (F.col("end") > F.col("e_end"))).over(Window.partitionBy(*sample, "ent_idx"))
         hit = hit.withColumn("_cut", cut)
@@ -77,6 +84,51 @@ def label_schema(labels: DataFrame, label: str = "label") -> DataFrame:
     return labels.sparkSession.createDataFrame([(0, "O")], "label_id int, tag string").unionByName(tags)
 
 
+def model_labels(id2label: dict) -> list[str]:
+    """A model's labels in the order of their ids, which may be texts."""
+    named = {int(i): str(x) for i, x in id2label.items()}
+    return [named[i] for i in range(len(named))]
+
+
+def aligned_labels(labels: Sequence[str], id2label: dict | None) -> list[str]:
+    """Training labels in the order of the model they are to be used with. The training order stays where the model has
+    no labels, only placeholders (LABEL_0 ...) or other labels."""
+    if not id2label:
+        return list(labels)
+    theirs = model_labels(id2label)
+    return theirs if sorted(theirs) == sorted(labels) else list(labels)
+
+
+def label_order(tag) -> Column:
+    """Sorts tags: O, then each label's B- before its I-, then the rest."""
+    t = F.col(tag) if isinstance(tag, str) else tag
+    pair = t.startswith("B-") | t.startswith("I-")
+    return F.struct(F.when(t == "O", 0).when(pair, 1).otherwise(2).alias("kind"), F.when(pair, F.substring(t, 3, 1 << 20)).otherwise(t).alias("name"), t.startswith("I-").alias("inside"))
+
+
+ENTITY_LIST = "array<struct<start:int,end:int,label:string>>"
+
+
+def canonical_entities(raw) -> Column:
+    """Entities of a JSON text, a list of (start, end, label): none for null and blank, an error where one lacks a part."""
+    c = F.col(raw) if isinstance(raw, str) else raw
+    none = F.array().cast(ENTITY_LIST)
+    text = F.trim(c)
+    parsed = F.from_json(text, ENTITY_LIST, {"mode": "PERMISSIVE"})
+    bad = parsed.isNull() | ~text.startswith("[") | F.exists(parsed, lambda x: x.isNull() | x["start"].isNull() | x["end"].isNull() | x["label"].isNull())
+    checked = F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit("not a list of entities: "), text)).cast(ENTITY_LIST)).otherwise(parsed)
+    return F.when(c.isNull() | (text == ""), none).otherwise(checked)
+
+
+def entity_metrics(rows: DataFrame, sample: Sequence[str], order: str = "start", gold: str = "gold", predicted: str = "predicted", ignore: str = "-100") -> DataFrame:
+    """Precision, recall and F1 over entities of tag sequences: one counts if label and both borders agree."""
+    from mentionlake.operators.evaluate import exact
+
+    kept = rows.filter(F.col(gold) != ignore).withColumns({"_from": F.col(order), "_to": F.col(order) + 1})
+    both = [decode(kept, sample, order, t, "_from", "_to") for t in (gold, predicted)]
+    return exact(*both, [*sample, "label", "_from", "_to"])
+
+
 def window_labels(window_tokens: DataFrame, tags: DataFrame, sample: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Tags of window tokens from the full text's; special tokens and tokens without width have none (-100 as label id)."""
     joined = window_tokens.join(tags.select(*sample, "start", "end", "tag"), [*sample, "start", "end"], "left")
@@ -96,10 +148,18 @@ def overlapping(spans: DataFrame, sample: Sequence[str], start: str = "start", e
     return hit.select(*sample, "idx", "other_idx")
 
 
-def contained(entities: DataFrame, passages: DataFrame, key: str = "document_id") -> DataFrame:
-    """Entities joined to every passage of their document that contains them whole."""
-    p = passages.select(key, "passage_id", F.col("passage_offset").alias("p_start"), (F.col("passage_offset") + F.length("text")).alias("p_end"))
-    return entities.join(p, key).filter("p_start <= start and end <= p_end")
+#: Positions in a bucket of the containment join.
+BUCKET = 1_024
+
+
+def contained(entities: DataFrame, passages: DataFrame, key: str | Sequence[str] = "document_id") -> DataFrame:
+    """Entities joined to every passage of their document that contains them whole: a passage is filed under each
+    bucket of positions it touches, an entity under that of its start, so a long document isn't compared in full."""
+    keys = [key] if isinstance(key, str) else list(key)
+    at = lambda c: F.floor(c / BUCKET)
+    p = passages.select(*keys, "passage_id", F.col("passage_offset").alias("p_start"), (F.col("passage_offset") + F.length("text")).alias("p_end"))
+    p = p.withColumn("_b", F.explode(F.sequence(at(F.col("p_start")), at(F.col("p_end")))))
+    return entities.withColumn("_b", at(F.col("start"))).join(p, [*keys, "_b"]).filter("p_start <= start and end <= p_end").drop("_b")
 
 
 def token_metrics(rows: DataFrame, gold: str = "gold", predicted: str = "predicted", ignore: str = "-100") -> DataFrame:

@@ -32,16 +32,24 @@ def compact(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "true"})
 
 
-def coerce_mentions(df: DataFrame) -> DataFrame:
-    """Mention rows from any of the accepted columns; a missing end is start plus length."""
+def coerce_mentions(df: DataFrame, document_id: str | None = None) -> DataFrame:
+    """Mention rows from any of the accepted columns: the first of text, mention and mention_text that isn't empty; a row
+    that has none of them is an error. A missing end is start plus length; a missing type stays missing."""
     low = {c.lower(): c for c in df.columns}
     pick = lambda kind, *names: F.coalesce(*[F.col(low[n]).cast("string").try_cast(kind) for n in names if n in low], F.lit(None).cast(kind))
+    words = [F.col(low[n]).cast("string") for n in ("text", "mention", "mention_text") if n in low]
+    some = F.coalesce(*[F.nullif(w, F.lit("")) for w in words], *words, F.lit(None).cast("string"))
+    mention = F.when(some.isNull(), F.raise_error(F.lit("a mention needs text, mention or mention_text")).cast("string")).otherwise(some)
     start = pick("int", "start", "offset")
-    out = df.select(
-        F.coalesce(pick("string", "mention", "text", "mention_text"), F.lit("")).alias("mention"), pick("string", "document_id", "doc_id", "document_key").alias("document_id"),
+    return df.select(
+        mention.alias("mention"), F.coalesce(F.nullif(pick("string", "document_id", "doc_id", "document_key"), F.lit("")), F.lit(document_id).cast("string")).alias("document_id"),
         start.alias("start"), F.coalesce(pick("int", "end"), start + pick("int", "length")).alias("end"), pick("string", "entity_type", "type", "label").alias("entity_type"), pick("double", "score").alias("score"),
     )
-    return out.withColumn("entity_type", F.coalesce("entity_type", F.lit("cell_type")))
+
+
+def without_metadata(df: DataFrame, keep: Sequence[str] = ("input_ids", "attention_mask", "token_type_ids", "labels")) -> DataFrame:
+    """What a model is given of tokenised rows: offsets, ids and texts stay behind."""
+    return df.select([c for c in keep if c in df.columns])
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

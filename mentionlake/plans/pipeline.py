@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -34,6 +35,13 @@ class PipelineConfig:
     weights: dict[str, float] = field(default_factory=lambda: dict(linking.WEIGHTS))
 
 
+def model_label(reference: str, known: Sequence[tuple[str, str]] = ()) -> str:
+    """Prefix of a model's infons: that of the first known name which the reference contains, whatever the case, else the
+    last part of its path with dashes for underscores."""
+    low = reference.lower()
+    return next((label for part, label in known if part.lower() in low), (os.path.basename(reference.rstrip("/")) or reference).replace("_", "-"))
+
+
 class Pipeline:
     """Lazy plans; resources are read once and kept."""
 
@@ -54,15 +62,21 @@ class Pipeline:
     # recognition
 
     def recognize(self, passages: DataFrame) -> DataFrame:
-        """Entities of passages (document_id, passage_id, passage_offset, text): absolute start and end, label, text."""
+        """Entities of passages (document_id, passage_id, passage_offset, text): absolute start and end, label, text. Passages
+        that know their file keep source_path and doc_idx, so that documents of one id stay apart."""
         tagger = self._tagger()
-        keys = ["document_id", "passage_id"]
+        keys = [*[c for c in ("source_path", "doc_idx") if "doc_idx" in passages.columns], "document_id", "passage_id"]
         scored = tag(passages.select(*keys, "text"), tagger, self.config.window, self.config.stride)
         spans = decode.decode(tags(scored, tagger, keys), keys)
         out = spans.join(passages.select(*keys, "passage_offset", F.col("text").alias("_t")), keys)
         out = out.withColumn("text", F.expr("substring(_t, start + 1, end - start)")).drop("_t").withColumn("score", F.lit(None).cast("double"))
         return filters.to_absolute(out)
 
+    def warm_up(self, text: str = "A short text to start with.", runs: int = 1) -> None:
+        """Runs recognition a few times, so that workers have loaded their models before anything is timed."""
+        for _ in range(runs):
+            self.recognize_text(text).count()
+
     def recognize_text(self, text: str, document_id: str = "doc0") -> DataFrame:
         return self.recognize(bioc.string_passage(self.spark, text, document_id))
 
@@ -72,7 +86,7 @@ class Pipeline:
         docs = bioc.read_xml(self.spark, input_xml)
         p = bioc.nonempty_passages(docs)
         out = writers.with_contained(docs, self.recognize(p))
-        self._write(out, output_xml)
+        self._write(out, output_xml, self._head(input_xml))
         return bioc.annotations(bioc.read_xml(self.spark, output_xml))
 
     # linking
@@ -82,7 +96,8 @@ class Pipeline:
         long form, and dense linking for the rest. `texts`: document_key, text."""
         m = mentions.select(F.coalesce("document_key", F.lit("")).alias("document_key"), "mention_text").distinct()
         m = m.withColumn("normalized_text", X.normalize_text("mention_text"))
-        cols = ["document_key", "mention_text", "normalized_text", "rank", "identifier", "name", "preferred_label", "embedding_score", "final_score", "source"]
+        details = ["abbreviation_method", "expanded_long_form", "long_form_method", "long_form_key", "long_form_score"]
+        cols = ["document_key", "mention_text", "normalized_text", "rank", "identifier", "name", "preferred_label", "embedding_score", "final_score", "source", *details]
         if self.abbreviations is None:
             return self._dense(m, topn, "model_normal").select(*cols)
         empty = self.spark.createDataFrame([], "document_key string, short_key string, long_form string")
@@ -92,9 +107,12 @@ class Pipeline:
         direct = hit.select(
             "document_key", "mention_text", "normalized_text", F.lit(0).alias("rank"), "identifier", F.col("short_form").alias("name"),
             F.coalesce(F.nullif("_label", F.lit("")), "short_form").alias("preferred_label"), F.col("key_score").alias("embedding_score"), F.col("key_score").alias("final_score"), F.lit("abbreviation_direct").alias("source"),
+            F.col("method").alias("abbreviation_method"), *[F.lit(None).cast(t).alias(c) for c, t in zip(details[1:], ("string", "string", "string", "double"))],
         )
         long_ = r.filter("resolution = 'ambiguous_long_form'")
+        told = long_.select("document_key", "mention_text", F.col("method").alias("abbreviation_method"), *details[1:])
         via = self._dense(long_.withColumn("query_text", X.normalize_text("expanded_long_form")), LONG_FORM_TOPN, "abbreviation_ambiguous_via_long_form", LONG_FORM_K).filter(F.col("rank") < topn)
+        via = via.drop(*details).join(told, ["document_key", "mention_text"])
         rest = r.filter("resolution is null or resolution = 'ambiguous_unresolved'")
         return direct.select(*cols).unionByName(via.select(*cols)).unionByName(self._dense(rest, topn, "model_normal").select(*cols))
 
@@ -102,7 +120,7 @@ class Pipeline:
         if "query_text" not in m.columns:
             m = m.withColumn("query_text", F.col("normalized_text"))
         found = linking.link_texts(m, self.terms, self.concepts, self.config.encoder, topn, initial_k, self.config.weights)
-        return m.select("document_key", "mention_text", "normalized_text", "query_text").join(found.drop("query_text").join(m.select("query_text").distinct().withColumn("query_idx", F.xxhash64("query_text")), "query_idx"), "query_text").withColumn("source", F.lit(source))
+        return m.select("document_key", "mention_text", "normalized_text", "query_text").join(found.drop("query_text").join(m.select("query_text").distinct().withColumn("query_idx", F.xxhash64("query_text")), "query_idx"), "query_text").withColumns({"source": F.lit(source), **{c: F.lit(None).cast("double" if c == "long_form_score" else "string") for c in ("abbreviation_method", "expanded_long_form", "long_form_method", "long_form_key", "long_form_score")}})
 
     def normalize_mentions(self, mentions: Sequence[Any] | DataFrame, document_text: str | None = None, topn: int = 1) -> DataFrame:
         """Candidates of strings, dicts or rows; a document text lends its abbreviations to mentions without document."""
@@ -118,9 +136,13 @@ class Pipeline:
         """Links every annotation that can be linked and writes the candidates into it."""
         self._may_write(output_xml, overwrite)
         docs = bioc.read_xml(self.spark, input_xml)
-        wanted = bioc.linkable(docs).select("document_key", F.col("normalized_text").alias("mention_text")).distinct()
-        found = self.link(wanted, topn, bioc.document_texts(docs)).withColumn("normalized_text", F.col("mention_text"))
-        self._write(writers.with_links(docs, found, self.config.model_label), output_xml)
+        wanted = bioc.linkable(docs).select("document_key", F.col("normalized_text").alias("mention_text")).distinct().cache()
+        began, unique = time.perf_counter(), wanted.count()
+        found = self.link(wanted, topn, bioc.document_texts(docs)).withColumn("normalized_text", F.col("mention_text")).cache()
+        found.count()
+        label = self.config.model_label
+        facts = [("normalization_model", label), ("normalization_unique_mentions", str(unique)), ("normalization_elapsed_seconds", f"{time.perf_counter() - began:.6f}")]
+        self._write(writers.with_links(docs, found, label), output_xml, self._head(input_xml), facts)
         return bioc.predictions(bioc.read_xml(self.spark, output_xml))
 
     # extraction
@@ -154,6 +176,14 @@ class Pipeline:
         if os.path.exists(path) and not overwrite:
             raise FileExistsError(path)
 
+    def _head(self, path: str) -> tuple[dict[str, str], list[tuple[str, str]]]:
+        return bioc.read_head(self.spark, bioc.input_files(path)[0])
+
     @staticmethod
-    def _write(docs: DataFrame, path: str) -> None:
-        docs.select("id", "infon", "passage").write.mode("overwrite").format("xml").option("rootTag", "collection").option("rowTag", "document").option("ignoreSurroundingSpaces", "false").save(path)
+    def _write(docs: DataFrame, path: str, head: tuple[dict, list], facts: Sequence[tuple[str, str]] = ()) -> None:
+        """The documents under their collection's head; facts change its infons in place or stand in front of them."""
+        fields, infons = head
+        for k, v in facts:
+            at = next((i for i, x in enumerate(infons) if x[0] == k), None)
+            infons = [(k, v), *infons] if at is None else [*infons[:at], (k, v), *infons[at + 1 :]]
+        writers.write_xml(docs, path, "overwrite", fields, infons)

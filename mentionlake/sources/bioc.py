@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,12 +15,16 @@ from mentionlake.functions import infons as I
 from mentionlake.functions import text as X
 
 
+#: Documents that are numbered together.
+SPAN = 100_000
+
+
 def input_files(paths: str | Sequence[str]) -> list[str]:
-    """Files of a mix of files and folders (folders recursively, sorted); a missing one raises."""
+    """Files of a mix of files and folders (folders recursively, sorted, but for hidden files and markers); a missing one raises."""
     out = []
     for p in [paths] if isinstance(paths, str) else paths:
         if os.path.isdir(p):
-            out += sorted(os.path.join(d, f) for d, _, names in os.walk(p) for f in names if f.endswith(".xml"))
+            out += sorted(os.path.join(d, f) for d, _, names in os.walk(p) for f in names if not f.startswith((".", "_")))
         elif os.path.exists(p):
             out.append(p)
         else:
@@ -26,15 +32,41 @@ def input_files(paths: str | Sequence[str]) -> list[str]:
     return list({os.path.realpath(p): p for p in reversed(out)}.values())[::-1]
 
 
+_XML = {"ignoreSurroundingSpaces": "false", "nullValue": "\u0000"}
+
+
 def read_xml(spark: SparkSession, paths: str | Sequence[str], strip_namespaces: bool = False) -> DataFrame:
-    """One row per document in file order: doc_idx, source_path, id, infon, passage. White space in texts stays."""
-    reader = spark.read.format("xml").option("rowTag", "document").option("ignoreSurroundingSpaces", "false").option("nullValue", "\u0000")
+    """One row per document in file order: doc_idx, source_path, id, infon, passage. White space in texts stays.
+
+    Files are cut after each closing document tag, so that a large collection is read by many tasks; one whose
+    tags carry namespaces is read as a whole."""
+    files = input_files(paths)
     if strip_namespaces:
-        reader = reader.option("ignoreNamespace", "true")
-    docs = reader.schema(schemas.DOCUMENT_XML).load(input_files(paths))
-    docs = docs.select("*", F.col("_metadata.file_path").alias("source_path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("i")).alias("_order"))
-    # the number inside a file is what identifies a document: ids may repeat
-    return docs.withColumn("doc_idx", F.row_number().over(Window.partitionBy("source_path").orderBy("_order")) - 1).drop("_order")
+        reader = spark.read.format("xml").options(rowTag="document", ignoreNamespace="true", **_XML)
+        docs = reader.schema(schemas.DOCUMENT_XML).load(files).select("*", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_at"))
+    else:
+        raw = spark.read.text(files, lineSep="</document>").select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_at"))
+        one = F.concat(F.regexp_extract("value", r"(?s)<document(?:\s[^>]*)?>.*$", 0), F.lit("</document>"))
+        docs = raw.filter(F.col("value").rlike(r"<document[\s>]")).select("source_path", "_at", F.from_xml(one, schemas.DOCUMENT_XML, _XML).alias("d")).select("d.*", "source_path", "_at")
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    # the number inside a file is what identifies a document, since ids may repeat: numbers inside a split, which is
+    # read in order, after the rows of the splits before it. Only a row a split moves.
+    splits = docs.groupBy("source_path", "_at").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source_path").orderBy("_at")) - F.col("_n")
+    starts = splits.select("source_path", "_at", (before - F.col("_first")).alias("_shift"))
+    return docs.join(starts, ["source_path", "_at"]).withColumn("doc_idx", (F.col("_row") + F.col("_shift")).cast("int")).drop("_at", "_row", "_shift")
+
+
+def read_head(spark: SparkSession, path: str) -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """A collection's source, date and key, and its own infons, read up to the first document."""
+    head = ""
+    with open(path, encoding="utf-8", errors="replace") as f:
+        while "<document" not in head and (part := f.read(1 << 16)):
+            head += part
+    head = head.split("<document", 1)[0].split("</collection>", 1)[0]
+    unescape = lambda t: html.unescape(t.strip())
+    fields = {k: unescape(m[1]) for k in ("source", "date", "key") if (m := re.search(rf"<{k}>(.*?)</{k}>", head, re.S))}
+    return fields, [(html.unescape(k), unescape(v)) for k, v in re.findall(r'<infon\s+key="([^"]*)"\s*>(.*?)</infon>', head, re.S)]
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -54,11 +86,16 @@ def passages(docs: DataFrame) -> DataFrame:
 
 
 def with_record_id(flat: DataFrame, name: str = "record_id") -> DataFrame:
-    """Running number over files, documents and passages: counted per file first, so no task sees all rows."""
-    inside = F.row_number().over(Window.partitionBy("source_path").orderBy("doc_idx", "passage_id")) - 1
-    per = flat.groupBy("source_path").agg(F.count("*").alias("_n"))
-    start = per.withColumn("_start", F.sum("_n").over(Window.orderBy("source_path")) - F.col("_n")).drop("_n")
-    return flat.withColumn("_in", inside).join(start, "source_path").withColumn(name, F.col("_start") + F.col("_in")).drop("_in", "_start")
+    """Running number over files, documents and passages: inside a document, after the passages of the documents
+    before. Documents are numbered by a row each, in groups of `SPAN`, so no task sees all of a file's."""
+    key = ["source_path", "doc_idx"]
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("passage_id")) - 1
+    per = flat.groupBy(*key).agg(F.count("*").alias("_n")).withColumn("_g", F.floor(F.col("doc_idx") / SPAN))
+    groups = per.groupBy("source_path", "_g").agg(F.sum("_n").alias("_all"))
+    groups = groups.select("source_path", "_g", (F.sum("_all").over(Window.orderBy("source_path", "_g")) - F.col("_all")).alias("_base"))
+    start = per.withColumn("_o", F.sum("_n").over(Window.partitionBy("source_path", "_g").orderBy("doc_idx")) - F.col("_n")).join(groups, ["source_path", "_g"])
+    start = start.select(*key, (F.col("_base") + F.col("_o")).alias("_start"))
+    return flat.withColumn("_in", inside).join(start, key).withColumn(name, F.col("_start") + F.col("_in")).drop("_in", "_start")
 
 
 def nonempty_passages(docs: DataFrame) -> DataFrame:
@@ -145,18 +182,23 @@ def document_key(document_id="document_id", infons="infons") -> Column:
 
 
 def mentions(docs: DataFrame, include: Sequence[str] = ("cell_type", "cell_phenotype", "cell_hetero"), exclude: Sequence[str] = ("cell_vague",), need_location: bool = True) -> DataFrame:
-    """Evaluation mentions: all valid locations sorted; type from type, entity_type or label; a missing text is cut from the passage."""
+    """Evaluation mentions: all valid locations sorted; type from type, entity_type or label; a missing text is cut from
+    the passage where the location lies inside it. An empty `include` or `exclude` sets no limit."""
     a = _exploded(docs).withColumn("locations", _locations(F.col("a.location")))
     kind = F.coalesce(X.first_nonempty(*[I.get("ann_infons", k) for k in ("type", "entity_type", "label")]), F.lit("cell_type"))
     one = F.get("locations", F.lit(0))
-    cut = F.when(F.size("locations") == 1, F.substring(F.col("text"), one["offset"] - F.col("passage_offset") + 1, one["length"]))
+    at = one["offset"] - F.col("passage_offset")
+    cut = F.when((F.size("locations") == 1) & (at >= 0) & (at + one["length"] <= F.length("text")), F.substring(F.col("text"), at + 1, one["length"]))
     out = a.select(
         "source_path", "doc_idx", "document_id", "passage_id", "passage_offset", "ann_idx",
         passage_key().alias("passage_key"), F.col("text").alias("passage_text"), "locations",
-        F.coalesce(F.nullif("a.text", F.lit("")), cut, F.lit("")).alias("text"), kind.alias("entity_type"), F.col("ann_infons").alias("infons"),
+        F.trim(F.coalesce(F.nullif(F.trim("a.text"), F.lit("")), cut, F.lit(""))).alias("text"), kind.alias("entity_type"), F.col("ann_infons").alias("infons"),
     )
     low = F.lower("entity_type")
-    out = out.filter(low.isin([x.lower() for x in include]) & ~low.isin([x.lower() for x in exclude]))
+    if include:
+        out = out.filter(low.isin([x.lower() for x in include]))
+    if exclude:
+        out = out.filter(~low.isin([x.lower() for x in exclude]))
     return out.filter(F.size("locations") > 0) if need_location else out
 
 
@@ -174,8 +216,8 @@ def linkable(docs: DataFrame) -> DataFrame:
 
 
 def document_texts(docs: DataFrame) -> DataFrame:
-    """Text of each document key: passage texts in order, joined by newlines."""
-    p = passages(docs).filter(annotatable()).withColumn("document_key", document_key())
+    """Text of each document key: passage texts in order, empty ones left out, joined by newlines."""
+    p = passages(docs).filter(annotatable()).filter("text <> ''").withColumn("document_key", document_key())
     parts = F.array_sort(F.collect_list(F.struct("source_path", "doc_idx", "passage_id", "text")))
     return p.groupBy("document_key").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
 
@@ -194,7 +236,7 @@ def ranked_predictions(docs: DataFrame, model: str, most: int = 10) -> DataFrame
     """Every rank's prediction of a model on each annotation, with the type, locations and gold identifier."""
     a = _exploded(docs).withColumn("locations", _locations(F.col("a.location")))
     base = a.select(
-        "document_id", passage_key().alias("passage_key"), "doc_idx", "passage_id", "ann_idx", "locations",
+        "source_path", "document_id", passage_key().alias("passage_key"), "doc_idx", "passage_id", "ann_idx", "locations",
         F.coalesce(I.get("ann_infons", "type"), F.lit("")).alias("entity_type"), I.get("ann_infons", "identifier").alias("identifier"), F.col("ann_infons").alias("_i"),
         F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("rank"),
     )

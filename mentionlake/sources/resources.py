@@ -59,12 +59,17 @@ def is_abbreviation_file(path: str) -> bool:
 
 
 def read_abbreviations(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Rows (short_form, identifier, line_no) of abbreviation files; other files add none."""
+    """Rows (short_form, identifier, line_no) of abbreviation files; other files add none. A header is one on a file's
+    first line alone: further down such a row is data."""
     good = [p for p in ([paths] if isinstance(paths, str) else paths) if is_abbreviation_file(p)]
     if not good:
         return spark.createDataFrame([], "short_form string, identifier string, line_no bigint")
-    raw = spark.read.option("sep", "\t").option("quote", "").schema("short_form string, identifier string").csv(good)
-    return raw.withColumn("line_no", F.monotonically_increasing_id()).filter(~((F.trim("short_form") == ABBREVIATION_HEADER[0]) & (F.trim("identifier") == ABBREVIATION_HEADER[1])))
+    f = F.split("value", "\t")
+    raw = spark.read.text(good).select("value", F.monotonically_increasing_id().alias("line_no"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    first = raw.filter("at = 0").groupBy("file").agg(F.min("line_no").alias("line_no")).withColumn("first", F.lit(True))  # a row a file
+    rows = raw.filter("trim(value) <> ''").join(F.broadcast(first), ["file", "line_no"], "left").withColumns({"short_form": f[0], "identifier": F.get(f, F.lit(1))})
+    head = F.coalesce("first", F.lit(False)) & (F.trim("short_form") == ABBREVIATION_HEADER[0]) & F.coalesce(F.trim("identifier") == ABBREVIATION_HEADER[1], F.lit(False))
+    return rows.filter(~head).select("short_form", "identifier", "line_no")
 
 
 _OBO_TAGS = ("id", "name", "namespace", "def", "is_obsolete")

@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections.abc import Sequence
 from datetime import datetime, timezone
+from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,18 @@ from mentionlake.sources import bioc
 _NO_ANNOTATIONS = f"array<{schemas.ANNOTATION}>"
 
 
-def write_xml(docs: DataFrame, path: str) -> None:
-    """Documents (id, infon, passage) as XML files under a folder."""
-    docs.select("id", "infon", "passage").write.mode("errorifexists").format("xml").option("rootTag", "collection").option("rowTag", "document").option("ignoreSurroundingSpaces", "false").save(path)
+def write_xml(docs: DataFrame, path: str, mode: str = "errorifexists", head: dict[str, str] | None = None, infons: list[tuple[str, str]] = ()) -> None:
+    """Documents (id, infon, passage) as XML files under a folder; each file is a collection with the given head (source,
+    date, key) and infons, which `bioc.read_head` reads."""
+    one = docs.select(F.to_xml(F.struct("id", "infon", "passage"), {"rowTag": "document", "ignoreSurroundingSpaces": "false"}).alias("value"))
+    fields = "".join(f"<infon key={quoteattr(k)}>{escape(v)}</infon>" for k, v in infons) + "".join(f"<{k}>{escape(v)}</{k}>" for k, v in (head or {}).items())
+
+    def framed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([f'<?xml version="1.0" encoding="UTF-8"?>\n<collection>{fields}'])], names=["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</collection>"])], names=["value"])
+
+    one.mapInArrow(framed, "value string").write.mode(mode).text(path)
 
 
 def text_document(spark: SparkSession, text: str, document_id: str = "doc0", kind: str | None = None) -> DataFrame:
@@ -51,40 +63,63 @@ def _with_annotations(docs: DataFrame, made: DataFrame, keep: bool) -> DataFrame
     return joined.withColumn("passage", F.transform("passage", one)).drop("_m")
 
 
-def with_predictions(docs: DataFrame, predicted: DataFrame, clear: bool = True, model: str | None = None) -> DataFrame:
-    """Writes predictions (document_id, passage_id, start, end, label, text, score) into passages by document id and
-    passage number; predictions of document id '' go to that passage of every document. Ids run from T0 over all."""
+def _keys(table: DataFrame) -> list[str]:
+    """What tells documents apart: their place in their file, if the table knows it, else their id, which may repeat."""
+    return ["source_path", "doc_idx"] if {"source_path", "doc_idx"} <= set(table.columns) else ["document_id"]
+
+
+def with_predictions(docs: DataFrame, predicted: DataFrame, clear: bool = True, model: str | None = None, order: Sequence[str] = ("start", "end", "label")) -> DataFrame:
+    """Writes predictions (document_id, passage_id, start, end, label, text, score, and infons if they have any) into passages.
+
+    A prediction with source_path and doc_idx goes to that document; else to every document of its id, and with the
+    id '' to every document. `order` names the columns that give the order of the input. Ids run from T0 over all."""
     p = bioc.passages(docs).select("source_path", "doc_idx", "document_id", "passage_id")
-    own = p.join(predicted.filter("document_id <> ''"), ["document_id", "passage_id"])
-    wild = p.join(predicted.filter("document_id = ''").drop("document_id"), "passage_id")
-    hit = filters.numbered(own.unionByName(wild), ["source_path", "doc_idx", "passage_id", "start", "end", "label"], "_n")
-    kv = [F.struct(F.lit("type").alias("key"), F.col("label").alias("value"))]
-    if model:
-        kv.append(F.struct(F.lit("model").alias("key"), F.lit(model).alias("value")))
-    infons = F.concat(F.array(*kv), F.when(F.col("score").isNotNull(), F.array(F.struct(F.lit("score").alias("key"), F.format_string("%.6g", F.col("score")).alias("value")))).otherwise(F.array().cast(schemas.KEY_VALUES)))
+    if _keys(predicted) != ["document_id"]:
+        hit = p.drop("document_id").join(predicted, ["source_path", "doc_idx", "passage_id"])
+    else:
+        own = p.join(predicted.filter("document_id <> ''"), ["document_id", "passage_id"])
+        wild = p.join(predicted.filter("document_id = ''").drop("document_id"), "passage_id")
+        hit = own.unionByName(wild)
+    # those of the document's own id stand first
+    hit = hit.withColumn("_wild", F.lit(False) if "document_id" not in hit.columns else F.col("document_id") == "")
+    hit = filters.numbered(hit, ["source_path", "doc_idx", "passage_id", "_wild", *order], "_n")
+    entry = lambda k, v: F.array(F.struct(F.lit(k).alias("key"), v.alias("value")))
+    none = F.array().cast(schemas.KEY_VALUES)
+    more = F.filter(F.coalesce("infons", none), lambda x: x["key"] != "type") if "infons" in predicted.columns else none
+    infons = F.concat(entry("type", F.col("label")), entry("model", F.lit(model)) if model else none, more, F.when(F.col("score").isNotNull(), entry("score", X.significant("score"))).otherwise(none))
     made = hit.select("source_path", "doc_idx", "passage_id", "_n", _annotation(F.col("_n"), "T", infons).alias("a"))
     lists = made.groupBy("source_path", "doc_idx", "passage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "a"))), lambda x: x["a"]).alias("made"))
     return _with_annotations(docs, lists, keep=not clear)
 
 
 def with_contained(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Replaces annotations by entities (document_id, start, end, label, text) in every passage that contains them, sorted
-    by start, end and label, ids from T1 over all."""
+    """Replaces annotations by entities (start, end, label, text) in every passage of their document that contains them,
+    sorted by start, end and label, ids from T1 over all. Documents are told apart by source_path and doc_idx where the
+    entities have them, else by document_id."""
     from mentionlake.operators.decode import contained
 
+    key = _keys(entities)
     p = bioc.passages(docs).select("source_path", "doc_idx", "document_id", "passage_id", "passage_offset", "text")
-    hit = contained(entities.select("document_id", "start", "end", "label", F.col("text").alias("e_text")), p.select("document_id", "passage_id", "passage_offset", "text"))
-    hit = hit.join(p.select("source_path", "doc_idx", "document_id", "passage_id"), ["document_id", "passage_id"]).withColumnRenamed("e_text", "text")
+    hit = contained(entities.select(*key, "start", "end", "label", F.col("text").alias("e_text")), p.select(*key, "passage_id", "passage_offset", "text"), key)
+    if key == ["document_id"]:
+        hit = hit.join(p.select("source_path", "doc_idx", "document_id", "passage_id"), ["document_id", "passage_id"]).dropDuplicates()
+    hit = hit.withColumnRenamed("e_text", "text")
     hit = filters.numbered(hit, ["source_path", "doc_idx", "passage_id", "start", "end", "label"], "_n")
     made = hit.select("source_path", "doc_idx", "passage_id", "_n", _annotation(F.col("_n") + 1, "T", F.array(F.struct(F.lit("type").alias("key"), F.col("label").alias("value")))).alias("a"))
     lists = made.groupBy("source_path", "doc_idx", "passage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "a"))), lambda x: x["a"]).alias("made"))
     return _with_annotations(docs, lists, keep=False)
 
 
+#: What the best candidate may say of its abbreviation, and the key it is written under.
+DETAILS = [("abbreviation_method", "abbreviation_method"), ("expanded_long_form", "expanded_long_form"), ("long_form_method", "ab3p_method"), ("long_form_key", "ab3p_matched_key"), ("long_form_score", "ab3p_match_score")]
+
+
 def with_links(docs: DataFrame, results: DataFrame, model: str) -> DataFrame:
     """Writes ranked candidates into annotations: `results` document_key, normalized_text, rank, identifier, preferred_label,
-    name, final_score, embedding_score, source. New entries stand in front of old ones."""
-    per = results.groupBy("document_key", "normalized_text").agg(F.array_sort(F.collect_list(F.struct("rank", "identifier", "preferred_label", "name", "final_score", "embedding_score", "source"))).alias("c"))
+    name, final_score, embedding_score, source, and `DETAILS` where known. Present keys change in place, new entries stand
+    in front of old ones, the last first."""
+    own = [c for c, _ in DETAILS if c in results.columns]
+    per = results.groupBy("document_key", "normalized_text").agg(F.array_sort(F.collect_list(F.struct("rank", "identifier", "preferred_label", "name", "final_score", "embedding_score", "source", *own))).alias("c"))
     hit = bioc.linkable(docs).join(per, ["document_key", "normalized_text"])
     pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     named = lambda what, x: F.concat(F.lit(f"{model}_{what}_"), x["rank"].cast("string"))
@@ -92,9 +127,11 @@ def with_links(docs: DataFrame, results: DataFrame, model: str) -> DataFrame:
         pair(named("id", x), x["identifier"]), pair(named("identifier_name", x), x["preferred_label"]), pair(named("matched_alias", x), x["name"]),
         pair(named("identifier_score", x), X.score_text(x["final_score"])), pair(named("embedding_score", x), X.score_text(x["embedding_score"])),
     )))
-    new = F.concat(F.array(pair(F.lit(f"{model}_normalized_text"), F.col("normalized_text"))), ranks, F.array(pair(F.lit(f"{model}_match_source"), F.get("c", F.lit(0))["source"])))
-    fresh = F.transform(new, lambda x: x["key"])
-    merged = F.concat(F.reverse(new), F.filter("infons", lambda x: ~F.array_contains(fresh, x["key"])))
+    best = F.get("c", F.lit(0))
+    value = lambda c: X.score_text(best[c]) if c == "long_form_score" else F.nullif(best[c], F.lit(""))
+    details = F.filter(F.array(pair(F.lit(f"{model}_match_source"), best["source"]), *[pair(F.lit(f"{model}_{k}"), F.when(best[c].isNotNull(), value(c))) for c, k in DETAILS if c in own]), lambda x: x["value"].isNotNull())
+    new = F.concat(F.array(pair(F.lit(f"{model}_normalized_text"), F.col("normalized_text"))), ranks, details)
+    merged = I.upsert_all("infons", new)
     by = hit.select("source_path", "doc_idx", F.struct("passage_id", "ann_idx").alias("k"), merged.alias("i"))
     by = by.groupBy("source_path", "doc_idx").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "k.passage_id", "k.ann_idx"), I.to_xml("i")))).alias("_m"))
 
@@ -135,21 +172,60 @@ def passage_jsonl(docs: DataFrame, key: str = "record_id", with_entities: bool =
     return rows.select(filters.compact(rows).alias("value"))
 
 
+def write_passages(docs: DataFrame, path: str, key: str = "id", with_entities: bool = True) -> int:
+    """Passages with a text as JSON lines under a folder; how many they are."""
+    rows = passage_jsonl(docs, key, with_entities)
+    rows.write.mode("errorifexists").text(path)
+    return docs.sparkSession.read.text(path).count()
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Rows as compact JSON lines."""
     df.select(filters.compact(df).alias("value")).write.mode("errorifexists").text(path)
 
 
-def write_resource(records: DataFrame, path: str) -> None:
-    records.write.mode("errorifexists").json(path)
+def write_predictions(df: DataFrame, folder: str) -> None:
+    """Predictions as JSON lines (predictions.jsonl) and as files that are a JSON array each (predictions.json)."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.write.mode("errorifexists").text(os.path.join(folder, "predictions.jsonl"))
+
+    def array(batches):
+        before = "["
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([(before if not i else ",") + x for i, x in enumerate(lines)], pa.string())], names=["value"])
+            before = "," if lines else before
+        yield pa.RecordBatch.from_arrays([pa.array([("[" if before == "[" else "") + "]"])], names=["value"])
+
+    rows.mapInArrow(array, "value string").write.mode("errorifexists").text(os.path.join(folder, "predictions.json"))
+
+
+def write_resource(concepts: DataFrame, path: str) -> None:
+    """Concept records in order of their id, keys sorted, nulls written."""
+    key = "norm_concept_id" if "norm_concept_id" in concepts.columns else concepts.columns[0]
+    concepts.select(key, F.to_json(F.struct(*sorted(concepts.columns)), {"ignoreNullFields": "false"}).alias("value")).orderBy(key).select("value").write.mode("errorifexists").text(path)
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
     pairs.select("text_a", "text_b").write.mode("errorifexists").option("sep", "\t").option("header", True).csv(path)
 
 
-def write_metrics(rows: DataFrame, path: str) -> None:
-    rows.write.mode("errorifexists").option("header", True).csv(path)
+#: Order of the fields of metric tables; further columns follow.
+METRIC_FIELDS = ("dataset", "system", "task", "criterion", "tp", "fp", "fn", "precision", "recall", "f1")
+
+
+def write_metrics(rows: DataFrame, path: str, fields: Sequence[str] = METRIC_FIELDS) -> None:
+    """Metrics as CSV: the known fields in their order, others behind."""
+    some = [c for c in fields if c in rows.columns]
+    rows.select(*some, *[c for c in rows.columns if c not in some]).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def union_rows(tables: Sequence[DataFrame]) -> DataFrame:
+    """Rows of several tables: all their columns in the order in which they are first seen, null where a table lacks one."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
 
 
 def pubtator_lines(passages: DataFrame, annotations: DataFrame) -> DataFrame:

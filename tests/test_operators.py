@@ -177,3 +177,87 @@ def test_encoders(spark):
     assert (h.vectors(["a b"]) == h.vectors(["a b"])).all()
     df = encode(spark.createDataFrame([("a",), (None,)], "t string"), TableEncoder({"a": [1.0, 2.0]}), "t")
     assert {tuple(r.vector) for r in df.collect()} == {(1.0, 2.0), (0.0, 0.0)}
+
+
+class OneLetter:
+    """Counts of letters whatever their case, so that case alone never tells keys apart."""
+
+    size = 26
+
+    def vectors(self, texts):
+        return np.array([[t.lower().count(chr(97 + i)) for i in range(26)] for t in texts], dtype=float)
+
+
+def test_short_keys_match_themselves_alone(spark):
+    rows = [("TC", "CL:1"), ("ABCDEFGH", "CL:2")]
+    t = A.lookup(spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "short_form string, identifier string, line_no bigint"))
+    m = spark.createDataFrame([("tc",), ("TC",), ("Tc",), ("ABCDEFGH",), ("abcdEFGH",)], "mention_text string")
+    got = {r.mention_text: (r.matched_key, r.method) for r in A.match_keys(m, t, OneLetter()).collect()}
+    assert got == {"TC": ("TC", "exact_short_abbreviation"), "ABCDEFGH": ("ABCDEFGH", "encoder_abbreviation_match"), "abcdEFGH": ("ABCDEFGH", "encoder_abbreviation_match")}
+
+
+def test_detector_outputs():
+    pair = SimpleNamespace(short="A", long="alpha")
+    for found in ({"A": " alpha ", "": "x"}, [("A", "alpha", 3)], [["A", "alpha"]], [{"abbr": "A", "expansion": "alpha"}], [pair], [{"short": "A", "long_form": "alpha"}, ("x",), {}]):
+        assert A.detector_pairs(found) == [("A", "alpha")]
+    assert A.detector_pairs(None) == [] and A.detector_pairs("text") == []
+
+
+def test_label_orders():
+    labels = ["O", "B-a", "I-a"]
+    assert D.aligned_labels(labels, None) == labels == D.aligned_labels(labels, {0: "LABEL_0", 1: "LABEL_1", 2: "LABEL_2"})
+    assert D.aligned_labels(labels, {"1": "O", "0": "I-a", "2": "B-a"}) == ["I-a", "O", "B-a"]
+
+
+def test_entity_lists_need_all_parts(spark):
+    df = lambda t: spark.createDataFrame([(t,)], "t string").select(D.canonical_entities("t").alias("e"))
+    assert df('[{"start": 1, "end": 2, "label": "x"}]').first().e[0].label == "x" and df(" ").first().e == [] and df(None).first().e == []
+    for bad in ('[{"start": 1, "end": 2}]', '{"start": 1}', "nonsense"):
+        with pytest.raises(Exception):
+            df(bad).collect()
+
+
+def test_mentions_need_a_text(spark):
+    from mentionlake.operators import filters
+
+    df = spark.createDataFrame([("t", "m"), ("", "m"), ("", None)], "text string, mention string")
+    got = filters.coerce_mentions(df).collect()
+    assert [(r.mention, r.entity_type) for r in got] == [("t", None), ("m", None), ("", None)]
+    with pytest.raises(Exception):
+        filters.coerce_mentions(spark.createDataFrame([(None, 1)], "text string, start int")).collect()
+
+
+def test_full_rerank_against_plain(spark):
+    """All features, by the definitions, in plain Python."""
+    import difflib
+    import re
+
+    r = random.Random(5)
+    word = lambda: r.choice(["T", "cell", "CD8+", "(NK)", "natural", "killer", "alpha-beta", "Straße", "STRASSE", "t"])
+    text = lambda: " ".join(word() for _ in range(r.randint(1, 4)))
+    concepts = {f"C{i}": (text(), sorted({text() for _ in range(3)})) for i in range(6)}
+    queries = {i: text() for i in range(8)}
+    cand = [(q, c, n, -r.random(), text(), text(), r.random() < 0.5) for q in queries for n, c in enumerate(r.sample(sorted(concepts) + ["C9"], 4))]
+    fold = lambda t: " ".join(t.casefold().split())
+
+    def jaccard(a, b):
+        x, y = set(fold(a).split()), set(fold(b).split())
+        return len(x & y) / len(x | y) if x and y else 0.0
+
+    inside = lambda a, b: any(fold(x) == fold(b) for x in re.findall(r"\(([^()]*)\)", a))
+    want = {}
+    for q, c, n, e, name, label, preferred in cand:
+        names = concepts[c][1] if c in concepts else [name, label]
+        label = concepts[c][0] if c in concepts else label
+        t = queries[q]
+        s = e + 0.35 * any(fold(t) == fold(x) for x in names) + 0.2 * max(jaccard(t, x) for x in names) + 0.15 * jaccard(t, label)
+        s += 0.1 * any(inside(t, x) or inside(x, t) for x in names) + 0.05 * max(difflib.SequenceMatcher(None, fold(t), fold(x)).ratio() for x in names) + 0.03 * preferred
+        want[q, c] = (s, e, n)
+    df = spark.createDataFrame(cand, "query_idx bigint, identifier string, prior int, embedding_score double, name string, preferred_label string, is_preferred boolean")
+    con = spark.createDataFrame([(c, names, label) for c, (label, names) in concepts.items()], "identifier string, names array<string>, preferred_label string")
+    got = L.rerank(df, spark.createDataFrame(list(queries.items()), "query_idx bigint, query_text string"), con).collect()
+    for g in got:
+        assert g.final_score == pytest.approx(want[g.query_idx, g.identifier][0])
+    for q in queries:
+        order = sorted((c for x, c in want if x == q), key=lambda c: (-want[q, c][0], -want[q, c][1], want[q, c][2]))
+        assert [g.identifier for g in sorted((g for g in got if g.query_idx == q), key=lambda g: g["rank"])] == order

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mentionlake.cli import _parser, main
-from mentionlake.plans.pipeline import Pipeline, PipelineConfig
+from mentionlake.plans.pipeline import Pipeline, PipelineConfig, model_label
 from mentionlake.sources import bioc
 from mentionlake.streaming import ingest
 from mentionlake.taggers import GazetteerTagger, tag, tags
@@ -25,7 +25,7 @@ def pipe(spark, tmp_path):
 
 
 def test_extract_text(pipe):
-    r = pipe.extract_text("The mesothelial cell and SMC clusters were observed.").orderBy("start").collect()
+    r = pipe.extract_text("The mesothelial cell and SMC bundles lay in rows.").orderBy("start").collect()
     assert [(x.start, x.end, x.mention, x.cl_id, x.source) for x in r] == [(4, 20, "mesothelial cell", "CL:9000077", "model_normal"), (25, 28, "SMC", "CL:9000001", "abbreviation_direct")]
     assert pipe.extract_text("  ").count() == 0
     with pytest.raises(TypeError):
@@ -45,6 +45,10 @@ def test_bioc_round_trip(spark, pipe, tmp_path):
     out = str(tmp_path / "out")
     rows = pipe.extract_bioc(str(tmp_path / "in.xml"), out).orderBy("start").collect()
     assert [(r.start, r.end, r.cl_id) for r in rows] == [(10, 13, "CL:9000001"), (18, 35, "CL:9000077")]
+    head, infons = bioc.read_head(spark, bioc.input_files(out)[0])
+    assert dict(infons)["normalization_model"] == "link" and dict(infons)["normalization_unique_mentions"] == "2"
+    keys = {i.key: i.value for r in bioc.annotations(bioc.read_xml(spark, out)).filter("start = 10").collect() for i in r.infons}
+    assert keys["link_abbreviation_method"] == "exact_short_abbreviation" and keys["link_match_source"] == "abbreviation_direct"
     with pytest.raises(FileExistsError):
         pipe.extract_bioc(str(tmp_path / "in.xml"), out, overwrite=False)
 
@@ -77,3 +81,8 @@ def test_streaming_linking(spark, tmp_path):
 def test_string_passage(spark):
     assert bioc.string_passage(spark, "x").first().document_id == "doc0"
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_model_labels():
+    known = [("sapbert", "Best-Sapbert")]
+    assert model_label("models/My_SapBERT_x", known) == "Best-Sapbert" and model_label("a/b_c/") == "b-c" and model_label("x_y") == "x-y"

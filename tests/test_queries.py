@@ -6,10 +6,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from mentionlake.plans import catalogue
+from mentionlake.plans import catalogue, roundtrip
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+QUERIES = catalogue.QUERIES | roundtrip.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | roundtrip.ORACLE_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
 
@@ -34,17 +36,17 @@ def rows(frame):
     return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, db, name):
-    got = catalogue.QUERIES[name](spark, SF).toPandas()
-    want = db.execute(catalogue.ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = db.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() >= 0
 
 
 def test_entry(spark):

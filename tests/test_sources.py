@@ -6,7 +6,7 @@ from mentionlake.operators import ontology as O
 from mentionlake.sources import bioc, resources, writers
 
 XML = """<?xml version="1.0"?><collection><source>s</source><document><id>d1</id>
-<passage><infon key="article-id_pmid">77</infon><offset>100</offset><text>SMC clusters were observed. </text>
+<passage><infon key="article-id_pmid">77</infon><offset>100</offset><text>SMC clusters grew in a row. </text>
 <annotation id="a1"><infon key="type">cell_type</infon><infon key="identifier">CL:1</infon><infon key="score">0.5</infon><location offset="100" length="3"/><text>SMC</text></annotation>
 <annotation id="a2"><infon key="label">cell_vague</infon><location offset="999" length="3"/><location offset="104" length="8"/><text></text></annotation></passage>
 <passage><offset>x</offset><text></text></passage>
@@ -23,7 +23,7 @@ def docs(spark, tmp_path):
 
 def test_passages_keep_blank_ones(docs):
     rows = bioc.passages(docs).orderBy("record_id").collect()
-    assert [(r.doc_idx, r.passage_id, r.passage_offset, r.text) for r in rows] == [(0, 0, 100, "SMC clusters were observed. "), (0, 1, 0, ""), (0, 2, 0, " two  spaces"), (1, 0, 0, "Second")]
+    assert [(r.doc_idx, r.passage_id, r.passage_offset, r.text) for r in rows] == [(0, 0, 100, "SMC clusters grew in a row. "), (0, 1, 0, ""), (0, 2, 0, " two  spaces"), (1, 0, 0, "Second")]
     assert [r.record_id for r in rows] == [0, 1, 2, 3]
     assert [(r.passage_id, r.record_id) for r in bioc.nonempty_passages(docs).orderBy("record_id").collect()] == [(0, 0), (2, 1), (0, 2)]
 
@@ -44,7 +44,7 @@ def test_overlapping_entities_raise(docs):
 
 def test_linkable_and_texts(docs):
     assert [(x.document_key, x.normalized_text) for x in bioc.linkable(docs).collect()] == [("77", "SMC")]
-    assert {x.document_key: x.text for x in bioc.document_texts(docs).collect()} == {"77": "SMC clusters were observed. ", "d1": "\nSecond"}
+    assert {x.document_key: x.text for x in bioc.document_texts(docs).collect()} == {"77": "SMC clusters grew in a row. ", "d1": "Second"}
 
 
 def test_round_trip_with_predictions(spark, docs, tmp_path):
@@ -68,7 +68,7 @@ def test_links_go_to_the_front_and_gold_stays(spark, docs, tmp_path):
     r = [x for x in bioc.ranked_predictions(linked, "m").collect() if x.pred_id]
     assert [(x.rank, x.pred_id, x.score_text, x.identifier) for x in r] == [(0, "CL:9", "0.50000000", "CL:1")]
     c = [x for x in bioc.annotations(writers.cleaned(linked)).collect() if x.ann_id == "a1"][0]
-    assert [x.key for x in c.infons] == ["type", "identifier", "score"]
+    assert [x.key for x in c.infons] == ["m_matched_alias_0", "m_normalized_text", "type", "identifier", "score"]
 
 
 def test_jsonl(docs):
@@ -164,3 +164,59 @@ def test_columns_and_names():
     assert resources.paired_paths(["b=1", "a=2"], ["a=3", "b=4"]) == [("a", "2", "3"), ("b", "1", "4")]
     with pytest.raises(ValueError):
         resources.paired_paths(["a=1"], ["b=1"])
+
+
+def test_documents_that_share_an_id_stay_apart(spark, tmp_path):
+    (tmp_path / "x.xml").write_text(
+        "<collection><source>s &amp; t</source><date>2020</date><key>k</key><infon key='n'>no</infon><infon key=\"m\">a &lt; b</infon>"
+        + "".join(f"<document><id>d</id><passage><offset>0</offset><text>{t} SMC</text></passage></document>" for t in ("one", "three"))
+        + "</collection>"
+    )
+    docs = bioc.read_xml(spark, str(tmp_path / "x.xml"))
+    assert [r.doc_idx for r in docs.orderBy("doc_idx").collect()] == [0, 1]
+    p = bioc.passages(docs)
+    e = p.select("source_path", "doc_idx", (F.length("text") - 3).alias("start"), F.length("text").alias("end"), F.lit("cell").alias("label"), F.lit("SMC").alias("text"))
+    a = bioc.annotations(writers.with_contained(docs, e)).collect()
+    assert sorted((r.doc_idx, r.start, r.ann_id) for r in a) == [(0, 4, "T1"), (1, 6, "T2")]
+    # by id alone both documents are meant
+    both = bioc.annotations(writers.with_contained(docs, e.drop("source_path", "doc_idx").withColumn("document_id", F.lit("d")))).collect()
+    assert sorted((r.doc_idx, r.start) for r in both) == [(0, 4), (1, 4), (1, 6)]
+    head, infons = bioc.read_head(spark, str(tmp_path / "x.xml"))
+    assert head == {"source": "s & t", "date": "2020", "key": "k"} and infons == [("m", "a < b")]
+    out = str(tmp_path / "out")
+    writers.write_xml(docs, out, head=head, infons=infons)
+    assert bioc.read_head(spark, bioc.input_files(out)[0]) == (head, infons)
+    again = bioc.read_xml(spark, out)
+    assert sorted(r.text for r in bioc.passages(again).collect()) == ["one SMC", "three SMC"]
+
+
+def test_large_files_are_cut_between_documents(spark, tmp_path):
+    body = "".join(f"<document><id>{i}</id><passage><offset>0</offset><text>{'w' * (i % 50)} {i}</text></passage></document>\n" for i in range(3000))
+    (tmp_path / "x.xml").write_text(f"<collection>{body}</collection>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        docs = bioc.read_xml(spark, str(tmp_path / "x.xml"))
+        assert docs.rdd.getNumPartitions() > 5
+        assert all(int(r.id) == r.doc_idx for r in docs.select("id", "doc_idx").collect()) and docs.count() == 3000
+        r = bioc.nonempty_passages(docs).select("document_id", "record_id").collect()
+        assert all(int(x.document_id) == x.record_id for x in r) and len(r) == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_outputs(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(5)], "n int, t string")
+    writers.write_predictions(df.coalesce(1), str(tmp_path / "p"))
+    part = next(f for f in (tmp_path / "p" / "predictions.json").iterdir() if f.suffix == ".txt")
+    assert json.loads(part.read_text()) == [{"n": i, "t": None if i % 2 else "x"} for i in range(5)]
+    assert spark.read.json(str(tmp_path / "p" / "predictions.jsonl")).count() == 5
+    rows = spark.createDataFrame([(0.5, "d", "extra")], "f1 double, dataset string, more string")
+    writers.write_metrics(rows, str(tmp_path / "m"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "m")).columns == ["dataset", "f1", "more"]
+    assert writers.union_rows([rows, df]).columns == ["f1", "dataset", "more", "n", "t"]
+
+
+def test_header_counts_on_the_first_line_alone(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("short_form\tmatched_cl_id\nA\tCL:1\nshort_form\tmatched_cl_id\nB\tCL:2\textra\n")
+    r = resources.read_abbreviations(spark, str(tmp_path / "a.tsv")).orderBy("line_no").collect()
+    assert [(x.short_form, x.identifier) for x in r] == [("A", "CL:1"), ("short_form", "matched_cl_id"), ("B", "CL:2")]

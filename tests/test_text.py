@@ -32,7 +32,7 @@ def test_null_text_has_no_tokens(spark):
 
 @pytest.mark.parametrize(
     ("left", "right", "jaccard", "ratio"),
-    [("smooth muscle cell", "Smooth  muscle cell", 1.0, 1.0), ("T cell", "T lymphocyte", 1 / 3, 4 / 9), ("muscle cell", "smooth muscle cell", 2 / 3, 22 / 29), ("", "x", 0.0, 0.0)],
+    [("smooth muscle cell", "Smooth  muscle cell", 1.0, 1.0), ("T cell", "T lymphocyte", 1 / 3, 4 / 9), ("muscle cell", "smooth muscle cell", 2 / 3, 22 / 29), ("", "x", 0.0, 0.0), ("", " ", 0.0, 1.0), ("CD8+ T cell", "CD8 T cell", 0.5, 20 / 21), ("T-cell", "T cell", 0.0, 10 / 12), ("Straße", "strasse", 1.0, 1.0)],
 )
 def test_lexical_features(spark, left, right, jaccard, ratio):
     df = spark.createDataFrame([(left, right)], "l string, r string")
@@ -46,11 +46,11 @@ def test_sequence_ratio_against_plain(spark):
     got = spark.createDataFrame(rows, "l string, r string").select("l", "r", udfs.sequence_ratio("l", "r").alias("s")).collect()
     for g in got:
         a, b = " ".join(g.l.casefold().split()), " ".join(g.r.casefold().split())
-        assert g.s == pytest.approx(difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0)
+        assert g.s == pytest.approx(difflib.SequenceMatcher(None, a, b).ratio())
 
 
 def test_parenthetical(spark):
-    df = spark.createDataFrame([("NK", "natural killer cell (NK)", 1.0), ("NK", "natural killer cell", 0.0), ("a (b (NK))", "nk", 1.0)], "l string, r string, e double")
+    df = spark.createDataFrame([("NK", "natural killer cell (NK)", 1.0), ("NK", "natural killer cell", 0.0), ("a (b (NK))", "nk", 1.0), ("x ()", " ", 1.0), ("x", "", 0.0)], "l string, r string, e double")
     for row in df.select(X.has_parenthetical_relation("l", "r").alias("x"), "e").collect():
         assert row.x == row.e
 
@@ -90,3 +90,31 @@ def test_chunks_tile_the_text():
         t = "".join(r.choices("ab .\n", k=r.randint(0, 200)))
         cut = udfs.chunk_spans(t, 17)
         assert "".join(t[a:b] for a, b in cut) == t and all(b - a <= 17 for a, b in cut)
+
+
+def test_case_folding_of_every_character(spark):
+    """Against Python's over the basic plane; the JVM's tables differ from it in a few rare scripts only."""
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF and not 0xE000 <= c <= 0xF8FF and chr(c) != "\0"]
+    got = spark.createDataFrame([(c,) for c in every], "t string").select("t", X.casefold("t").alias("f")).collect()
+    odd = [r.t for r in got if r.f != r.t.casefold()]
+    assert len(odd) < 250 and not any(c < "\u0370" for c in odd)
+    assert one(spark, X.fold("t"), t="  ΑΣ\x1c ς \u2003Iı ") == "ας ς ıi".replace("ς", "σ").replace("ıi", "iı")
+
+
+def test_six_digits(spark):
+    r = random.Random(3)
+    some = [0.5, 1e-7, 1e6, 123456.7, 999999.5, 1e-4, 1.5e-5, 0.0, -2.5, 1 / 3, 2e22, float("nan"), float("inf"), float("-inf"), *[r.uniform(-1, 1) * 10 ** r.randint(-9, 9) for _ in range(300)]]
+    got = spark.createDataFrame([(x,) for x in some], "x double").select(X.significant("x").alias("s")).collect()
+    assert [g.s for g in got] == [f"{x:.6g}" for x in some]
+
+
+def test_upsert_changes_the_first_of_equal_keys(spark):
+    df = spark.sql("select array(struct('a' as key, '1' as value), struct('a' as key, '2' as value)) as i")
+    u = df.select(I.upsert("i", [("a", F.lit("9")), ("b", F.lit("1")), ("b", F.lit("2")), ("c", F.lit(None))]).alias("u")).first().u
+    assert [(x.key, x.value) for x in u] == [("b", "2"), ("a", "9"), ("a", "2")]
+
+
+def test_plural_of_a_lone_s(spark):
+    df = spark.createDataFrame([("s",), ("as",), ("a",)], "k string")
+    assert [r.v for r in df.select(X.abbreviation_variants("k").alias("v")).collect()] == [["s", "ss"], ["as", "a"], ["a", "as"]]
+    assert one(spark, X.abbreviation_key("t"), t="a\u2014b\u2015c") == "ab\u2015c"
