@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -38,33 +37,23 @@ def exact(gold: DataFrame, predicted: DataFrame, keys: Sequence[str], by: Sequen
     return with_ratios(total.select(*by, "tp", (F.col("_p") - F.col("tp")).alias("fp"), (F.col("_g") - F.col("tp")).alias("fn")))
 
 
-_SPACED = re.compile(r"\S+")
-
-
-def _touched(spans, tokens) -> set[int]:
-    return {i for i, (a, b) in enumerate(tokens) for s, e in spans if a < e and s < b}
-
-
 def match(rows: list) -> list[tuple[int, int, int]]:
     """(gold_idx, pred_idx, overlap): predictions in order take the free gold mention of the largest overlap (the first of equals).
 
-    A row: side, idx, locations, passage_offset, passage_text, barred; gold rows first, each side in order."""
-    text = next((r.passage_text for r in rows if r.passage_text), "")
-    at = int(rows[0].passage_offset or 0)
-    tokens = [(at + m.start(), at + m.end()) for m in _SPACED.finditer(text)]
+    A row: side, idx, barred and places (offset, end, first token, last token); gold rows first, each side in order. Where
+    both mentions touch tokens they meet in one, else in a character."""
     gold, out = [], []
     for r in rows:
-        spans = [(x["offset"], x["offset"] + x["length"]) for x in r.locations]
-        touched = _touched(spans, tokens)
+        touched = [x for x in r.places if x["first"] <= x["last"]]
         if r.side == "gold":
-            gold.append((r.idx, spans, touched))
+            gold.append((r.idx, r.places, touched))
             continue
         if r.barred:
             continue
         best, most = None, -1
-        for k, (_, g, theirs) in enumerate(gold):
-            shared = sum(max(0, min(e, e2) - max(s, s2)) for s, e in g for s2, e2 in spans)
-            meets = bool(theirs & touched) if theirs and touched else shared > 0
+        for k, (_, places, theirs) in enumerate(gold):
+            shared = sum(max(0, min(x["end"], y["end"]) - max(x["offset"], y["offset"])) for x in places for y in r.places)
+            meets = any(x["first"] <= y["last"] and y["first"] <= x["last"] for x in theirs for y in touched) if theirs and touched else shared > 0
             if meets and shared > most:
                 best, most = k, shared
         if best is not None:
@@ -76,21 +65,32 @@ def relaxed_matches(gold: DataFrame, predicted: DataFrame, by: Sequence[str] = (
     """Greedy one-to-one matches inside passages: gold_idx, pred_idx, overlap.
 
     Both sides: document_id, passage_key, passage_offset, passage_text, locations (sorted offset, length),
-    text, idx (document order). Spans that can't reach each other, not even by a shared token, are
-    independent, so each passage is cut into islands first and no task holds more than one island."""
+    text, idx (document order). Which tokens a mention touches is found where it lies, so texts don't move.
+    Spans that can't reach each other, not even by a shared token, are independent, so each passage is cut
+    into islands first and no task holds more than one island."""
     low = [w.lower() for w in blacklist]
     cols = [*by, "document_id", "passage_key", "passage_offset", "passage_text", "locations", "idx"]
     g = gold.select(*cols, F.lit("gold").alias("side"), F.lit(False).alias("barred"))
     p = predicted.select(*cols, F.lit("pred").alias("side"), X.normalize_mention("text").isin(low).alias("barred"))
     both = g.unionByName(p)
     group = [*by, "document_id", "passage_key"]
+    text = F.coalesce("passage_text", F.lit(""))
+    before = lambda at: F.substring(text, F.lit(1), F.greatest(at - F.col("passage_offset"), F.lit(0)))
+    tokens = lambda t: F.size(F.regexp_extract_all(t, F.lit(r"(?U)\S+"), F.lit(0)))
+    rest = lambda at: F.substring(text, F.greatest(at - F.col("passage_offset") + 1, F.lit(1)), F.length(text))
+
+    def place(x: Column) -> Column:
+        end = x["offset"] + x["length"]
+        # a token that the offset cuts is one of those that begin before it
+        inside = (before(x["offset"]).rlike(r"(?U)\S$") & rest(x["offset"]).rlike(r"(?U)^\S")).cast("int")
+        return F.struct(x["offset"].alias("offset"), end.alias("end"), (tokens(before(x["offset"])) - inside).alias("first"), (tokens(before(end)) - 1).alias("last"))
+
     first = F.array_min(F.transform("locations", lambda x: x["offset"]))
     last = F.array_max(F.transform("locations", lambda x: x["offset"] + x["length"]))
-    text = F.coalesce("passage_text", F.lit(""))
     # out to the borders of the tokens that the ends touch
-    lead = F.length(F.regexp_extract(F.substring(text, F.lit(1), F.greatest(first - F.col("passage_offset"), F.lit(0))), r"(?U)\S*$", 0))
-    tail = F.length(F.regexp_extract(F.substring(text, F.greatest(last - F.col("passage_offset") + 1, F.lit(1)), F.length(text)), r"(?U)^\S*", 0))
-    both = both.withColumn("_s", first - lead).withColumn("_e", last + tail)
+    lead = F.length(F.regexp_extract(before(first), r"(?U)\S*$", 0))
+    tail = F.length(F.regexp_extract(rest(last), r"(?U)^\S*", 0))
+    both = both.select(*group, "idx", "side", "barred", F.transform("locations", place).alias("places"), (first - lead).alias("_s"), (last + tail).alias("_e"))
     w = Window.partitionBy(*group).orderBy("_s", "_e", "side", "idx")
     reach = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     both = both.withColumn("_new", (F.coalesce(reach, F.lit(-1)) <= F.col("_s")).cast("int")).withColumn("_island", F.sum("_new").over(w))
@@ -98,10 +98,12 @@ def relaxed_matches(gold: DataFrame, predicted: DataFrame, by: Sequence[str] = (
     kinds = dict(both.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in by] + ["gold_idx bigint", "pred_idx bigint", "overlap bigint"])
 
-    ordered = both.repartition(*keys).sortWithinPartitions(*keys, "side", "idx").select(*keys, "side", "idx", "locations", "passage_offset", "passage_text", "barred")
+    # an island with one side only holds no match; the others stand together, each in order
+    sides = F.size(F.collect_set("side").over(Window.partitionBy(*keys)))
+    ordered = both.withColumn("_sides", sides).filter("_sides = 2").sortWithinPartitions(*keys, "side", "idx").select(*keys, "side", "idx", "places", "barred")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # islands stand together and may go over the border of two batches
+        # islands may go over the border of two batches
         island, now = [], None
 
         def close() -> list:
@@ -222,10 +224,22 @@ GRID = [(i, t) for i in ("exact_ids", "all_ids") for t in (("cell_phenotype",),
 PLAIN_GRID = [("single_id", ("cell_type",))]
 
 
-def grid(gold: DataFrame, ranked: DataFrame, graded: bool, **options) -> DataFrame:
-    """All settings of a corpus as one table."""
-    parts = [normalisation(gold, ranked, i, t, **options).withColumns({"iterator": F.lit(i), "entity_types": F.lit("+".join(t))}) for i, t in (GRID if graded else PLAIN_GRID)]
-    return reduce(DataFrame.unionByName, parts)
+def grid(gold: DataFrame, ranked: DataFrame, settings: Sequence[tuple[str, Sequence[str]]] = tuple(GRID), end_to_end: bool = False, threshold: float | None = 0.0, by: Sequence[str] = ()) -> DataFrame:
+    """`normalisation` of several settings (iterator, types) in one pass: columns iterator and entity_types tell them apart.
+
+    Each annotation is read once and handed to the settings that take it."""
+
+    def handed(df: DataFrame, need: bool) -> DataFrame:
+        one = [F.when(F.col("entity_type").isin(list(t)), F.struct(F.lit(i).alias("iterator"), F.lit("+".join(t)).alias("entity_types"), ITERATORS[i]().alias("ids"))) for i, t in settings]
+        return df.withColumn("_s", F.explode(F.filter(F.array(*one), lambda x: x.isNotNull() & (x["ids"].isNotNull() if need else F.lit(True))))).select("*", "_s.*").drop("_s")
+
+    each = [*by, "iterator", "entity_types"]
+    keys = ["passage_key", "entity_type", *(["locations"] if end_to_end else []), "pred_id"]
+    reference = handed(gold, True).withColumn("pred_id", F.explode("ids"))
+    # a prediction's place among those of its annotation is the same in every setting
+    kinds = sorted({x for _, t in settings for x in t})
+    predicted = surviving(ranked.filter(F.col("entity_type").isin(kinds)), threshold, (*by, "doc_idx", "passage_id", "ann_idx"))
+    return topk_metrics(reference, handed(predicted, not end_to_end), keys, each)
 
 
 def pivoted(rows: DataFrame, datasets: Sequence[str], value: str = "f1", row: str = "system", column: str = "dataset") -> DataFrame:
