@@ -1,3 +1,4 @@
+import csv
 import json
 import re
 
@@ -67,6 +68,38 @@ def test_cli(tmp_path):
     assert main(["predict-text", "--text", "x", "--output", str(tmp_path / "o"), "--ontology", "/nowhere.jsonl"]) == 1
 
 
+XML = "<collection><document><id>d</id><passage><offset>0</offset><text>SMC and mesothelial cells.</text><annotation id='a'><infon key='type'>cell_type</infon><infon key='identifier'>CL:9000001</infon><infon key='old_id_0'>CL:0</infon><location offset='0' length='3'/><text>SMC</text></annotation></passage></document></collection>"
+
+
+def test_benchmark_and_evaluators(tmp_path, pipe):
+    for n in ("one", "two"):
+        (tmp_path / f"{n}.xml").write_text(XML)
+    (tmp_path / "bad.xml").write_text("<collection><document><id>d</id><passage><offset>0</offset><text>x</text><annotation id='a'><infon key='type'>cell_type</infon><text>y</text></annotation></passage></document></collection>")
+    out, given = tmp_path / "out", ["--ontology", str(tmp_path / "o.jsonl"), "--abbreviations", str(tmp_path / "a.tsv"), "--input"]
+    assert main(["benchmark", str(out), "normalize", *given, str(tmp_path / "one.xml"), str(tmp_path / "two.xml")]) == 0
+    rows = list(csv.DictReader((out / "run_manifest.csv").open()))
+    assert [(r["dataset"], r["status"], r["input_annotations"], r["output_annotations"]) for r in rows] == [("one", "ok", "1", "1"), ("two", "ok", "1", "1")]
+    assert main(["benchmark", str(out), "ner", "--skip-existing", *given, str(tmp_path / "one.xml")]) == 0
+    assert next(csv.DictReader((out / "run_manifest.csv").open()))["status"] == "skipped"
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "one.xml").write_text(XML)
+    assert main(["benchmark", str(out), "ner", *given, str(tmp_path / "one.xml"), str(tmp_path / "deep" / "one.xml")]) == 1  # one name twice
+    pairs = ["--gold", f"x={tmp_path}/one.xml", "--predicted", f"x={out}/one"]
+    assert main(["evaluate", str(tmp_path / "m1"), *pairs]) == 0
+    assert main(["evaluate-linking", str(tmp_path / "m2"), *pairs]) == 0
+    read = lambda p: [r for f in p.iterdir() if f.suffix == ".csv" for r in csv.DictReader(f.open())]
+    assert {(r["dataset"], r["criterion"], r["f1"]) for r in read(tmp_path / "m1")} == {(d, c, "1.0") for d in ("x", "Macro average") for c in ("exact_span", "relaxed_span")}
+    assert {(r["criterion"], r["f1"]) for r in read(tmp_path / "m2") if r["dataset"] == "x"} == {(f"single_id:cell_type:{k}", "1.0") for k in (1, 5, 10)}
+    assert main(["tables", str(tmp_path / "m1"), str(tmp_path / "t.md"), "--datasets", "x"]) == 0 and "1.000" in (tmp_path / "t.md").read_text()
+
+
+def test_resource_is_read_again(tmp_path, spark):
+    (tmp_path / "c.jsonl").write_text('{"id": "CL:1", "name": "a", "synonyms": ["b"]}\n{"id": "CL:2", "name": "c"}\n')
+    assert main(["build-ontology", str(tmp_path / "c.jsonl"), str(tmp_path / "r")]) == 0
+    facts = json.loads((tmp_path / "r.manifest.json").read_text())
+    assert (facts["concepts"], facts["terms"]) == (2, 3)
+
+
 def test_streaming_linking(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
