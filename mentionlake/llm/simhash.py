@@ -142,8 +142,9 @@ def near_pairs(classes: DataFrame, fp: str = "fp", radius: int = RADIUS, parts:
                     close = np.bitwise_count(x[at : at + rows, None] ^ y[None, :]) <= radius
                     i, j = np.nonzero(close)
                     i += at
-                    if same:
-                        i, j = i[i < j], j[i < j]
+                    if same:  # each pair once; by value, since the two lists may differ in order
+                        once = x[i] < y[j]
+                        i, j = i[once], j[once]
                     found_a.append(x[i].view(np.int64))
                     found_b.append(y[j].view(np.int64))
             if found_a:
