@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from mentionlake.functions import text as X
 from mentionlake.functions.udfs import sequence_ratio
 
-#: Dictionary rows up to which vectors are sent to every executor; beyond, dictionary blocks are joined.
-BROADCAST_TERMS = 50_000
+#: Dictionary rows, and bytes of their vectors, up to which these are sent to every executor; beyond, dictionary blocks are joined.
+BROADCAST_TERMS, BROADCAST_BYTES = 50_000, 256 << 20
 BLOCK = 4_096
+#: Queries that meet one block in one task, on average at most.
+QUERIES = 16_384
 
 WEIGHTS = {"embedding": 1.0, "exact": 0.35, "overlap": 0.20, "preferred": 0.15, "parenthetical": 0.10, "sequence": 0.05, "is_preferred": 0.03}
 
@@ -65,12 +67,12 @@ _FOUND = "query_idx long, term_idx long, score double"
 def retrieve(queries: DataFrame, terms: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Top k terms of each query by cosine: query_idx, term_idx, score (cosine - 1), rank from 0; ties to the smaller term_idx.
 
-    `queries`: query_idx, vector. `terms`: term_idx, vector. The terms are counted: a small dictionary
-    goes to the executors as one matrix; a large one is cut into blocks, each query meets each block
-    once, and the blocks' best are merged."""
-    size = terms.limit(BROADCAST_TERMS + 1).count()
+    `queries`: query_idx, vector. `terms`: term_idx, vector. The terms and their widths are counted: a small
+    dictionary goes to the executors as one matrix; a large one is cut into blocks, each query meets each block
+    once, a block is copied only for as many parts as the queries need, and the blocks' best are merged."""
+    size, width = terms.limit(BROADCAST_TERMS + 1).agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     k = min(k, size)
-    if size <= BROADCAST_TERMS:
+    if size <= BROADCAST_TERMS and size * width * 8 <= BROADCAST_BYTES:
         got = terms.select("term_idx", "vector").orderBy("term_idx").toArrow()
         shared = queries.sparkSession.sparkContext.broadcast((_matrix(got.column("vector")), got.column("term_idx").to_numpy()))
 
@@ -84,9 +86,10 @@ def retrieve(queries: DataFrame, terms: DataFrame, k: int, block: int = BLOCK) -
     else:
         blocks = -(-terms.count() // block)
         stored = terms.select("term_idx", "vector", F.pmod(F.xxhash64("term_idx"), F.lit(blocks)).alias("block"))
-        part = F.pmod(F.xxhash64("query_idx"), F.lit(max(1, blocks // 4)))
+        parts = max(1, -(-queries.count() // QUERIES))
+        part = F.pmod(F.xxhash64("query_idx"), F.lit(parts))
         asked = queries.select("query_idx", "vector", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-        stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, blocks // 4) - 1).cast("long"))))
+        stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:

@@ -370,11 +370,12 @@ _NO_SEQUENCE = linking.WEIGHTS | {"sequence": 0.0}
   names AS (SELECT DISTINCT 'C' || label AS identifier, unnest(['name ' || (vec_id % 7) || ' of C' || label, 'label C' || label]) AS name FROM embeddings),
   f AS (SELECT b.query_idx, b.identifier, b.embedding_score, b.pref, b.r, max(CASE WHEN {_fold_sql('q')} = {_fold_sql('name')} THEN 1.0 ELSE 0.0 END) AS ex, max({_jaccard_sql('q', 'name')}) AS ov, max({_jaccard_sql('q', "'label ' || identifier")}) AS po
         FROM (SELECT *, {_QT} AS q FROM b) b JOIN names USING (identifier) GROUP BY ALL)
-  SELECT query_idx, identifier, round(embedding_score + 0.35 * ex + 0.2 * ov + 0.15 * po + CASE WHEN pref THEN 0.03 ELSE 0 END, 6) AS final_score FROM f"""
+  SELECT query_idx, identifier, round(s, 6) AS final_score, CAST(row_number() OVER (PARTITION BY query_idx ORDER BY s DESC, embedding_score DESC, r) - 1 AS INTEGER) AS rank
+  FROM (SELECT *, embedding_score + 0.35 * ex + 0.2 * ov + 0.15 * po + CASE WHEN pref THEN 0.03 ELSE 0 END AS s FROM f)"""
 )
 def rerank_features(spark, sf_dir):
     """All features but the sequence ratio, which SQL lacks."""
-    return _reranked(spark, sf_dir, _NO_SEQUENCE).select("query_idx", "identifier", F.round("final_score", 6).alias("final_score"))
+    return _reranked(spark, sf_dir, _NO_SEQUENCE).select("query_idx", "identifier", F.round("final_score", 6).alias("final_score"), "rank")
 
 
 def _reranked(spark, sf_dir, weights):

@@ -15,7 +15,7 @@ from mentionlake.encoders import Encoder, HashingEncoder, encode
 from mentionlake.functions import text as X
 from mentionlake.operators import abbreviations as A
 from mentionlake.operators import decode, filters, linking
-from mentionlake.sources import bioc, resources, writers
+from mentionlake.sources import bioc, resources, workspace, writers
 from mentionlake.taggers import GazetteerTagger, Tagger, tag, tags
 
 LONG_FORM_K, LONG_FORM_TOPN = 50, 5
@@ -102,7 +102,7 @@ class Pipeline:
             return self._dense(m, topn, "model_normal").select(*cols)
         empty = self.spark.createDataFrame([], "document_key string, short_key string, long_form string")
         forms = A.document_long_forms(texts) if texts is not None else empty
-        r = A.resolve(m, self.abbreviations, forms, self.config.encoder).join(m, ["document_key", "mention_text"]).cache()
+        r = workspace.table(A.resolve(m, self.abbreviations, forms, self.config.encoder).join(m, ["document_key", "mention_text"]))
         hit = r.filter("resolution = 'direct'").join(self.concepts.select("identifier", F.col("preferred_label").alias("_label")), "identifier", "left")
         direct = hit.select(
             "document_key", "mention_text", "normalized_text", F.lit(0).alias("rank"), "identifier", F.col("short_form").alias("name"),
@@ -136,10 +136,10 @@ class Pipeline:
         """Links every annotation that can be linked and writes the candidates into it."""
         self._may_write(output_xml, overwrite)
         docs = bioc.read_xml(self.spark, input_xml)
-        wanted = bioc.linkable(docs).select("document_key", F.col("normalized_text").alias("mention_text")).distinct().cache()
+        wanted = bioc.linkable(docs).select("document_key", F.col("normalized_text").alias("mention_text")).distinct()
+        wanted = workspace.table(wanted)
         began, unique = time.perf_counter(), wanted.count()
-        found = self.link(wanted, topn, bioc.document_texts(docs)).withColumn("normalized_text", F.col("mention_text")).cache()
-        found.count()
+        found = workspace.table(self.link(wanted, topn, bioc.document_texts(docs)).withColumn("normalized_text", F.col("mention_text")))
         label = self.config.model_label
         facts = [("normalization_model", label), ("normalization_unique_mentions", str(unique)), ("normalization_elapsed_seconds", f"{time.perf_counter() - began:.6f}")]
         self._write(writers.with_links(docs, found, label), output_xml, self._head(input_xml), facts)
@@ -149,7 +149,7 @@ class Pipeline:
 
     def extract(self, passages: DataFrame) -> DataFrame:
         """Linked entities of passages: document_id, passage_index, mention, start, end, entity_type, cl_id, cl_label, score, source."""
-        found = self.recognize(passages)
+        found = workspace.table(self.recognize(passages))
         texts = passages.groupBy(F.col("document_id").alias("document_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
         linked = self.link(found.select(F.col("document_id").alias("document_key"), F.col("text").alias("mention_text")), 1, texts).filter("rank = 0")
         joined = found.join(linked.select(F.col("document_key").alias("document_id"), F.col("mention_text").alias("text"), "identifier", F.col("preferred_label").alias("cl_label"), F.col("final_score").alias("_s"), "source"), ["document_id", "text"], "left")

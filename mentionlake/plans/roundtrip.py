@@ -637,3 +637,132 @@ def span_row_pair(spark, sf_dir):
     loc = F.array(F.struct((F.col("l_linenumber") * 100).alias("offset"), (F.col("l_quantity").cast("int") + 1).alias("length")))
     g = li.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("document_id"), F.lit("p").alias("passage_key"), F.lit(0).alias("passage_offset"), F.lit("").alias("passage_text"), loc.alias("locations"), F.lit("y").alias("text"), F.lit("cell_type").alias("entity_type"), F.col("l_partkey").cast("long").alias("idx"))
     return E.span_rows(g, g, "set", "sys").select("dataset", "system", "criterion", "tp", "fp", "fn")
+
+
+# linking through the pipeline's API
+
+
+_VECTORS = "(SELECT vec_id, 'v' || vec_id AS name, 'CL:' || lpad(CAST(label AS VARCHAR), 7, '0') AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+
+
+@query(
+    f"""WITH v AS {_VECTORS}, q AS (SELECT * FROM v WHERE vec_id % 25 = 0), hits AS (SELECT q.vec_id AS query, v.vec_id, v.id, list_cosine_similarity(q.e, v.e) - 1 AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, v.e), 9) DESC, v.vec_id) AS place FROM q, v QUALIFY place <= 30),
+  best AS (SELECT query, id, max(s) AS s, row_number() OVER (PARTITION BY query ORDER BY max(s) DESC) AS prior FROM hits GROUP BY query, id QUALIFY prior <= 3),
+  scored AS (SELECT b.query, b.id, s + CASE WHEN q.id = b.id THEN 0.55 ELSE 0 END AS f FROM best b JOIN q ON q.vec_id = b.query),
+  dense AS (SELECT query, id, f, row_number() OVER (PARTITION BY query ORDER BY f DESC) - 1 AS rank FROM scored)
+  SELECT 'v' || query AS mention_text, CAST(rank AS INTEGER) AS rank, id AS identifier, round(f, 6) AS final_score, 'model_normal' AS source FROM dense WHERE query % 50 <> 0
+  UNION ALL SELECT name, 0, id, 1.0, 'abbreviation_direct' FROM q WHERE vec_id % 100 = 0
+  UNION ALL SELECT 'v' || query, CAST(rank AS INTEGER), id, round(f, 6), 'model_normal' FROM dense WHERE query % 100 = 50"""
+)
+def link_mentions(spark, sf_dir):
+    """Mentions through the linker: direct abbreviations, ambiguous ones without a long form, and the dense rest.
+
+    The encoder is a table of the driver's vectors, so its size is theirs."""
+    from mentionlake.encoders import TableEncoder
+    from mentionlake.operators.linking import WEIGHTS
+    from mentionlake.plans.pipeline import Pipeline, PipelineConfig
+
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), F.concat(F.lit("CL:"), F.lpad(F.col("label").cast("string"), 7, "0")).alias("id"), "embedding")
+
+    def ontology(path: str) -> None:
+        c = e.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("name")), "|").alias("s"), F.min("vec_id").alias("k"))
+        _lines(c, F.to_json(F.struct(F.col("id").alias("norm_concept_id"), F.concat(F.lit("label "), "id").alias("norm_preferred_label"), F.split("s", r"\|").alias("synonyms"), F.lit("cell").alias("namespace"))), path)
+
+    def short(path: str) -> None:
+        rows = e.filter("vec_id % 50 = 0").orderBy("vec_id").select("vec_id", "name", "id").collect()  # a fixture's file
+        with open(path, "w", encoding="utf-8") as f:
+            f.write("short_form\tmatched_cl_id\n" + "".join(f"{r.name}\t{r.id}\n" + (f"{r.name}\tCL:9\n" if r.vec_id % 100 else "") for r in rows))
+
+    table = TableEncoder({r.name: [float(x) for x in r.embedding] for r in e.collect()})
+    config = PipelineConfig(_once(spark, sf_dir, "vectors.jsonl", ontology), _once(spark, sf_dir, "vectors.tsv", short), encoder=table, weights=WEIGHTS | {"sequence": 0.0})
+    m = e.filter("vec_id % 25 = 0").select(F.lit("").alias("document_key"), F.col("name").alias("mention_text"))
+    found = Pipeline(spark, config).link(m, 3)
+    return found.select("mention_text", "rank", "identifier", F.round("final_score", 6).alias("final_score"), "source")
+
+
+# what a run leaves behind
+
+
+@query("SELECT l_returnflag AS dataset, CAST(count(*) AS BIGINT) AS tp, round(avg(l_quantity), 6) AS f1, CAST(max(l_suppkey) AS BIGINT) AS more FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'z', 1, 0.5, NULL")
+def metric_files(spark, sf_dir):
+    """Metric rows of several tables as one CSV, read back: fixed fields first, others behind."""
+    a = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("dataset")).agg(F.max("l_suppkey").alias("more"), F.round(F.avg("l_quantity"), 6).alias("f1"), F.count("*").alias("tp"))
+    b = spark.createDataFrame([("z", 1, 0.5)], "dataset string, tp long, f1 double")
+    path = _once(spark, sf_dir, "metrics", lambda p: writers.write_metrics(writers.union_rows([a, b]), p))
+    return spark.read.option("header", True).schema("dataset string, tp long, f1 double, more long").option("enforceSchema", False).csv(path)
+
+
+@query("SELECT 'lines' AS kind, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (o_custkey % 3 = 0) AS BIGINT) AS n_null FROM orders UNION ALL SELECT 'array', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (o_custkey % 3 = 0) AS BIGINT) FROM orders UNION ALL SELECT 'compact', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (o_custkey % 3 = 0) AS BIGINT) FROM orders")
+def prediction_files(spark, sf_dir):
+    """Predictions as JSON lines and as JSON arrays, nulls written, and as compact lines, nulls left out."""
+    p = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderstatus")).alias("label"))
+
+    def write(path: str) -> None:
+        writers.write_predictions(p, path)
+        writers.write_jsonl(p, os.path.join(path, "compact"))
+
+    path = _once(spark, sf_dir, "predictions", write)
+    schema = "o_orderkey long, label string"
+    parts = [("lines", spark.read.schema(schema).json(f"{path}/predictions.jsonl")), ("array", spark.read.schema(schema).option("multiLine", True).json(f"{path}/predictions.json")), ("compact", spark.read.schema(schema).json(f"{path}/compact"))]
+    return writers.union_rows([df.agg(F.count("o_orderkey").alias("n"), F.count(F.when(F.col("label").isNull(), 1)).alias("n_null")).select(F.lit(k).alias("kind"), "n", "n_null") for k, df in parts])
+
+
+@query("SELECT sha256(string_agg(r_name, chr(10) ORDER BY r_regionkey)) AS digest, round(count(*) / 2.0, 6) AS per_second, round(2000.0 / count(*), 6) AS ms FROM region")
+def digests_and_rates(spark, sf_dir):
+    """A file's digest, and the rates of a run that took two seconds."""
+
+    def write(path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write("\n".join(r.r_name for r in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect()))  # five rows
+
+    rate = E.throughput(_t(spark, sf_dir, "region").count(), 2.0)
+    row = (writers.folder_digest(_once(spark, sf_dir, "regions.txt", write)), rate["mentions_per_second"], rate["ms_per_mention"])
+    return spark.createDataFrame([row], "digest string, per_second double, ms double").select("digest", F.round("per_second", 6).alias("per_second"), F.round("ms", 6).alias("ms"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_name) - 1 AS INTEGER) AS place, n_name AS name, 'gold/' || n_name AS gold, 'pred/' || n_name AS predicted FROM nation")
+def paired_files(spark, sf_dir):
+    """Gold and predicted files paired by name, in order of the names."""
+    names = [r.n_name for r in _t(spark, sf_dir, "nation").select("n_name").collect()]  # arguments of a command
+    pairs = R.paired_paths([f"{n}=gold/{n}" for n in names], [f"{n}=pred/{n}" for n in reversed(names)])
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "place int, name string, gold string, predicted string")
+
+
+@query("SELECT CAST(r_regionkey AS INTEGER) AS place, r_name || '.xml' AS name FROM region")
+def file_lists(spark, sf_dir):
+    """Files of folders and of their own paths, each once, in order; markers and hidden files are none."""
+
+    def write(path: str) -> None:
+        for r in _t(spark, sf_dir, "region").collect():  # five rows
+            folder = os.path.join(path, str(r.r_regionkey))
+            os.makedirs(folder)
+            for name in (f"{r.r_name}.xml", "_SUCCESS", ".hidden.xml"):
+                with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+                    f.write("<collection/>")
+
+    path = _once(spark, sf_dir, "lists", write)
+    first = bioc.input_files(path)
+    found = bioc.input_files([path, first[0], os.path.join(path, "0", "..", "0")])
+    return spark.createDataFrame([(i, os.path.basename(f)) for i, f in enumerate(found)], "place int, name string")
+
+
+@query("SELECT 'json' AS kind, CAST(count(*) AS BIGINT) AS n, md5(string_agg(p_name, '|' ORDER BY p_partkey)) AS digest FROM part UNION ALL SELECT 'csv', CAST(count(*) AS BIGINT), md5(string_agg(p_name, '|' ORDER BY p_partkey)) FROM part")
+def dataset_files(spark, sf_dir):
+    """Datasets by the ending of their first file; the columns that hold text and ids are inferred."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("ID"), F.col("p_name").alias("Text"))
+    j = _once(spark, sf_dir, "data.jsonl", lambda x: p.write.json(x))
+    c = _once(spark, sf_dir, "data.csv", lambda x: p.write.option("header", True).csv(x))
+    out = []
+    for kind, path in (("json", j), ("csv", c)):
+        d = R.read_dataset(spark, [path])
+        names = R.infer_columns(d.columns)
+        rows = F.array_sort(F.collect_list(F.struct(F.col(names["record_id"]).cast("long").alias("k"), F.col(names["text"]).alias("t"))))
+        out.append(d.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.md5(F.array_join(F.transform(rows, lambda x: x["t"]), "|")).alias("digest")))
+    return writers.union_rows(out)
+
+
+@query("SELECT CAST(n AS INTEGER) AS line, value FROM (SELECT 0 AS n, '| system | A | N | R |' AS value UNION ALL SELECT 1, '|---|---|---|---|' UNION ALL SELECT 2, '| s | ' || printf('%.3f', avg(l_discount) FILTER (l_returnflag = 'A')) || ' | ' || printf('%.3f', avg(l_discount) FILTER (l_returnflag = 'N')) || ' | ' || printf('%.3f', avg(l_discount) FILTER (l_returnflag = 'R')) || ' |' FROM lineitem)")
+def markdown_table(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("dataset")).agg(F.avg("l_discount").alias("f1")).withColumn("system", F.lit("s"))
+    text = E.markdown(E.pivoted(rows, ["A", "N", "R"]))
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "line int, value string")

@@ -20,7 +20,8 @@ SPAN = 100_000
 
 
 def input_files(paths: str | Sequence[str]) -> list[str]:
-    """Files of a mix of files and folders (folders recursively, sorted, but for hidden files and markers); a missing one raises."""
+    """Files of a mix of files and folders (folders recursively, sorted, but for hidden files and markers), each
+    once, where it first stands; a missing one raises."""
     out = []
     for p in [paths] if isinstance(paths, str) else paths:
         if os.path.isdir(p):
@@ -29,7 +30,10 @@ def input_files(paths: str | Sequence[str]) -> list[str]:
             out.append(p)
         else:
             raise FileNotFoundError(p)
-    return list({os.path.realpath(p): p for p in reversed(out)}.values())[::-1]
+    first: dict[str, str] = {}
+    for p in out:
+        first.setdefault(os.path.realpath(p), p)
+    return list(first.values())
 
 
 _XML = {"ignoreSurroundingSpaces": "false", "nullValue": "\u0000"}

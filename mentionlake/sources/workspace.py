@@ -10,7 +10,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -26,6 +26,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def table(df: DataFrame) -> DataFrame:
+    """The rows written once and read back: what is built on them neither repeats the work nor carries its plan."""
+    path = os.path.join(folder(df.sparkSession, "table"), "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @functools.cache
 def _own() -> str:
     path = tempfile.mkdtemp(prefix="mentionlake-files-")
