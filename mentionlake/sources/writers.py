@@ -98,11 +98,11 @@ def with_contained(docs: DataFrame, entities: DataFrame) -> DataFrame:
     entities have them, else by document_id."""
     from mentionlake.operators.decode import contained
 
-    key = _keys(entities)
-    p = bioc.passages(docs).select("source_path", "doc_idx", "document_id", "passage_id", "passage_offset", "text")
-    hit = contained(entities.select(*key, "start", "end", "label", F.col("text").alias("e_text")), p.select(*key, "passage_id", "passage_offset", "text"), key)
-    if key == ["document_id"]:
-        hit = hit.join(p.select("source_path", "doc_idx", "document_id", "passage_id"), ["document_id", "passage_id"]).dropDuplicates()
+    key = ["source_path", "doc_idx"]
+    p = bioc.passages(docs).select(*key, "passage_id", "passage_offset", "text")
+    if _keys(entities) != key:
+        entities = entities.join(docs.select(*key, F.coalesce("id", F.lit("")).alias("document_id")), "document_id")
+    hit = contained(entities.select(*key, "start", "end", "label", F.col("text").alias("e_text")), p, key)
     hit = hit.withColumnRenamed("e_text", "text")
     hit = filters.numbered(hit, ["source_path", "doc_idx", "passage_id", "start", "end", "label"], "_n")
     made = hit.select("source_path", "doc_idx", "passage_id", "_n", _annotation(F.col("_n") + 1, "T", F.array(F.struct(F.lit("type").alias("key"), F.col("label").alias("value")))).alias("a"))
