@@ -1,5 +1,6 @@
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,15 @@ def test_case_folding_of_every_character(spark):
     assert one(spark, X.fold("t"), t="  ΑΣ\x1c ς \u2003Iı ") == "ας ς ıi".replace("ς", "σ").replace("ıi", "iı")
 
 
+def test_mentions_are_lowered_not_folded(spark):
+    """The rule of the span evaluation: lower case, white space runs as one space, edges stripped of what is no letter or digit."""
+    plain = lambda t: re.sub(r"^[\W_]+|[\W_]+$", "", re.sub(r"\s+", " ", (t or "").strip().lower()))
+    texts = ["(Straße \n GROẞ)", "ΑΣ ς \u017f", "\u0149a, İI\u0131", "CD8+ T  Cells,", "_\u00a0\x1cX\ty\u2003_", " -\n- ", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.normalize_mention("t").alias("n")).collect()
+    assert [r.n for r in got] == [plain(t) for t in texts]
+    assert got[0].n == "straße groß"
+
+
 def test_six_digits(spark):
     r = random.Random(3)
     some = [0.5, 1e-7, 1e6, 123456.7, 999999.5, 1e-4, 1.5e-5, 0.0, -2.5, 1 / 3, 2e22, float("nan"), float("inf"), float("-inf"), *[r.uniform(-1, 1) * 10 ** r.randint(-9, 9) for _ in range(300)]]
