@@ -221,3 +221,28 @@ def test_header_counts_on_the_first_line_alone(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("short_form\tmatched_cl_id\nA\tCL:1\nshort_form\tmatched_cl_id\nB\tCL:2\textra\n")
     r = resources.read_abbreviations(spark, str(tmp_path / "a.tsv")).orderBy("line_no").collect()
     assert [(x.short_form, x.identifier) for x in r] == [("A", "CL:1"), ("short_form", "matched_cl_id"), ("B", "CL:2")]
+
+
+def test_lines_of_several_files_keep_the_order_of_the_files(spark, tmp_path):
+    """Scans pack files by size, the largest first: later files here are larger or smaller than those before."""
+    parts = [3, 40, 1, 20]
+    for kind, line in {"jsonl": '{{"id": "CL:1", "name": "n{0}", "alias": "{1}"}}\n', "obo": "[Term]\nid: CL:1\nname: n{0}\nsynonym: \"{1}\" EXACT []\n\n", "tsv": "CL:1\tn{0}\t{1}\n", "o": '{{"norm_concept_id": "CL:{0}", "norm_preferred_label": "n{0}", "synonyms": ["{1}"]}}\n'}.items():
+        (tmp_path / f"x.{kind}").mkdir()
+        for i, n in enumerate(parts):
+            head = "id\tname\talias\n" if kind == "tsv" else ""
+            (tmp_path / f"x.{kind}" / f"part-{i}").write_text(head + "".join(line.format(10 * i + k, "x" * 10 * n) for k in range(2)))
+    for read in (resources.read_concepts_jsonl, resources.read_obo):
+        kind = "obo" if read is resources.read_obo else "jsonl"
+        assert [r.name for r in read(spark, str(tmp_path / f"x.{kind}")).collect()] == ["n31"]
+    assert [r.name for r in resources.read_concepts_table(spark, str(tmp_path / "x.tsv")).collect()] == ["n0"]
+    names = ["n0", "n1", "n10", "n11", "n20", "n21", "n30", "n31"]
+    got = []
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
+        try:
+            t = resources.read_ontology(spark, str(tmp_path / "x.o")).orderBy("term_idx").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        got.append([r.term_idx for r in t])
+        assert [r.raw_name for r in t if r.is_preferred] == names
+    assert got[0] == got[1]  # however the files are packed
