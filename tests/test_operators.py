@@ -10,6 +10,7 @@ from mentionlake.encoders import HashingEncoder, TableEncoder, encode
 from mentionlake.operators import abbreviations as A
 from mentionlake.operators import decode as D
 from mentionlake.operators import evaluate as E
+from mentionlake.operators import filters
 from mentionlake.operators import linking as L
 
 
@@ -283,3 +284,10 @@ def test_full_rerank_against_plain(spark):
     for q in queries:
         order = sorted((c for x, c in want if x == q), key=lambda c: (-want[q, c][0], -want[q, c][1], want[q, c][2]))
         assert [g.identifier for g in sorted((g for g in got if g.query_idx == q), key=lambda g: g["rank"])] == order
+
+
+def test_numbers_have_no_gap_where_ranges_are_sampled(spark):
+    """More rows than the borders' sample holds, in a plan whose two uses keep different columns."""
+    df = spark.range(0, 400_000, 1, 8).select(F.expr("(id * 7919) % 400000").alias("k"), F.col("id"), F.lit("x").alias("more"))
+    got = filters.numbered(df, ["k"], "n").agg(F.count("*").alias("n"), F.sum((F.col("n") != F.col("k")).cast("int")).alias("wrong"), F.sum("id").alias("ids")).first()
+    assert tuple(got) == (400_000, 0, 400_000 * 399_999 // 2)
