@@ -128,3 +128,27 @@ def test_plural_of_a_lone_s(spark):
     df = spark.createDataFrame([("s",), ("as",), ("a",)], "k string")
     assert [r.v for r in df.select(X.abbreviation_variants("k").alias("v")).collect()] == [["s", "ss"], ["as", "a"], ["a", "as"]]
     assert one(spark, X.abbreviation_key("t"), t="a\u2014b\u2015c") == "ab\u2015c"
+
+
+def test_spans_of_a_batch_take_little_room():
+    """A batch of Spark's is up to 10,000 texts; pairs as objects took hundreds of bytes a token."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["ab cd " * 100, None, ""] * 500)
+    tracemalloc.start()
+    try:
+        got = udfs.span_lists(texts, lambda t: (m.span() for m in re.finditer(r"\S+", t)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[0].as_py()[:2] == [{"start": 0, "end": 2}, {"start": 3, "end": 5}] and [len(x) for x in got[:3]] == [200, 0, 0]
+    assert peak < 4_000_000  # 100,000 tokens, and a piece's texts
+
+
+def test_long_forms_of_a_batch():
+    import pyarrow as pa
+
+    got = udfs.form_lists(pa.array(["the smooth muscle cell (SMC) of " * 2, None] * 700))
+    assert len(got) == 1400 and got[0].as_py() == [{"short": "SMC", "long": "smooth muscle cell"}] * 2 and got[1399].as_py() == []
