@@ -62,6 +62,20 @@ def test_windows_agree_with_one_window(spark):
     assert [x for x, y in got(1000, 0) if y != "O"] == [m.start() for m in re.finditer("SMC|mesothelial|endothelial|(?<=al )cell", text)]
 
 
+def test_tagger_hands_back_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    from mentionlake import taggers
+
+    monkeypatch.setattr(taggers, "ROWS", 100)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "text": ["SMC a " * 500, None, "b SMC"]})
+    got = list(taggers.scored(batch, ["id"], GazetteerTagger(["SMC"]), 64, 48, 16))
+    assert max(b.num_rows for b in got) < 164 and len(got) > 10
+    rows = [r for b in got for r in b.to_pylist()]
+    assert {(r["id"], r["start"]) for r in rows} == {(1, 6 * i + k) for i in range(500) for k in (0, 4)} | {(3, 0), (3, 2)}
+    assert all((r["scores"][1] == 1) == (r["end"] - r["start"] == 3) for r in rows)
+
+
 def test_cli(tmp_path):
     verbs = _parser().format_help()
     assert all(v in verbs for v in ("predict-bioc", "normalize-bioc", "predict-text", "convert", "evaluate", "build-ontology", "make-pairs"))
