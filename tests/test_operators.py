@@ -71,6 +71,13 @@ def test_windows(spark):
         assert [len(x) for x in got] == want
 
 
+def test_windows_compute_their_array_once(spark):
+    """A text's tokens were computed anew for each of its windows."""
+    tokens = F.split(F.col("t"), " ")
+    plan = spark.range(1).select(F.lit("a b").alias("t")).select(D.windows(tokens, 10, 4).alias("w"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
+
+
 def test_overlaps_against_plain(spark):
     r = random.Random(9)
     rows = [(s, i, a, a + r.randint(1, 150)) for s in range(5) for i in range(20) for a in [r.randint(0, 400)]]
