@@ -179,31 +179,50 @@ ITERATORS = {"exact_ids": exact_ids, "single_id": single_id, "all_ids": all_ids}
 
 
 def surviving(ranked: DataFrame, threshold: float | None = 0.0, keys: Sequence[str] = ("doc_idx", "passage_id", "ann_idx")) -> DataFrame:
-    """Predictions that count, with their new rank: placeholders and scores that are missing, no number or under the threshold go."""
-    r = ranked.filter("pred_id is not null and lower(pred_id) not in ('', '-', 'none')")
-    if threshold is not None:
-        s = X.safe_double("score_text")
-        r = r.filter(s.isNotNull() & (s >= threshold))
+    """Predictions that count, with their new rank: placeholders and scores that are missing, no number or under the threshold go.
+
+    A row is a prediction of an annotation (rank, pred_id, score_text), or an annotation with all of its own as `candidates`:
+    these are ranked where they lie, and nothing moves."""
+
+    def counts(pred_id: Column, score_text: Column) -> Column:
+        given = pred_id.isNotNull() & ~F.lower(pred_id).isin("", "-", "none")
+        s = X.safe_double(score_text)
+        return given if threshold is None else given & s.isNotNull() & (s >= threshold)
+
+    if "candidates" in ranked.columns:
+        kept = F.filter(F.array_sort(F.transform("candidates", lambda x: F.struct(x["rank"].alias("rank"), x["pred_id"].alias("pred_id"), x["score_text"].alias("score_text")))), lambda x: counts(x["pred_id"], x["score_text"]))
+        rest = [c for c in ranked.columns if c != "candidates"]
+        return ranked.select(*rest, F.posexplode(kept).alias("_at", "_c")).select(*rest, "_c.*", (F.col("_at") + 1).alias("place"))
+    r = ranked.filter(counts(F.col("pred_id"), F.col("score_text")))
     return r.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
 
 
-def topk_metrics(reference: DataFrame, predicted: DataFrame, keys: Sequence[str], by: Sequence[str] = (), ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Set metrics of the k best for each k in one pass. `reference`: by, keys; `predicted`: by, keys, place."""
-    every = [*by, *keys]
-    r = reference.select(*every).distinct().withColumn("_r", F.lit(1))
-    p = predicted.groupBy(*every).agg(F.min("place").alias("_place"))
-    both = r.unionByName(p, allowMissingColumns=True).groupBy(*every).agg(F.max("_r").alias("_r"), F.min("_place").alias("_place"))
-    both = both.withColumn("topk", F.explode(F.array(*[F.lit(k) for k in ks])))
-    hit = F.col("_place") <= F.col("topk")
+def _found(kind: str, place: str, ks: Sequence[int]) -> list[Column]:
+    """Aggregates over keys: those that either side has, those of the reference, and for each k those among the k best and the hits."""
     n = lambda c: F.count(F.when(c, 1))
-    out = both.groupBy(*by, "topk").agg(n(hit & F.col("_r").isNotNull()).alias("numerator"), n(hit).alias("precision_denominator"), n(F.col("_r").isNotNull()).alias("recall_denominator"))
+    r, p = F.col(kind).isNotNull(), F.col(place)
+    per = F.array(*[F.struct(F.lit(k).alias("topk"), n(r & (p <= k)).alias("numerator"), n(p <= k).alias("precision_denominator"), n(r).alias("recall_denominator")) for k in ks])
+    return [n(r | p.isNotNull()), per]
+
+
+def _scored(counts: DataFrame) -> DataFrame:
     z = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return out.withColumns({
+    return counts.withColumns({
         "precision": z("numerator", "precision_denominator"), "recall": z("numerator", "recall_denominator"),
         "f1": F.when(F.col("precision_denominator") + F.col("recall_denominator") > 0, 2 * F.col("numerator") / (F.col("precision_denominator") + F.col("recall_denominator"))).otherwise(F.lit(0.0)),
     })
 
 
+def topk_metrics(reference: DataFrame, predicted: DataFrame, keys: Sequence[str], by: Sequence[str] = (), ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
+    """Set metrics of the k best for each k in one pass. `reference`: by, keys; `predicted`: by, keys, place."""
+    every = [*by, *keys]
+    rows = reference.select(*every, F.lit(1).alias("_r")).unionByName(predicted.select(*every, F.col("place").alias("_place")), allowMissingColumns=True)
+    both = rows.groupBy(*every).agg(F.max("_r").alias("_r"), F.min("_place").alias("_place"))
+    any_, per = _found("_r", "_place", ks)
+    out = both.groupBy(*by).agg(any_.alias("_any"), per.alias("_k")).filter("_any > 0")
+    return _scored(out.select(*by, F.explode("_k").alias("k")).select(*by, "k.*"))
+
+
 def normalisation(gold: DataFrame, ranked: DataFrame, iterator: str, types: Sequence[str], end_to_end: bool = False, threshold: float | None = 0.0, by: Sequence[str] = ()) -> DataFrame:
     """Gold-span or strict end-to-end metrics of one iterator and set of types.
 
@@ -229,17 +248,31 @@ def grid(gold: DataFrame, ranked: DataFrame, settings: Sequence[tuple[str, Seque
 
     Each annotation is read once and handed to the settings that take it."""
 
-    def handed(df: DataFrame, need: bool) -> DataFrame:
-        one = [F.when(F.col("entity_type").isin(list(t)), F.struct(F.lit(i).alias("iterator"), F.lit("+".join(t)).alias("entity_types"), ITERATORS[i]().alias("ids"))) for i, t in settings]
-        return df.withColumn("_s", F.explode(F.filter(F.array(*one), lambda x: x.isNotNull() & (x["ids"].isNotNull() if need else F.lit(True))))).select("*", "_s.*").drop("_s")
-
-    each = [*by, "iterator", "entity_types"]
-    keys = ["passage_key", "entity_type", *(["locations"] if end_to_end else []), "pred_id"]
-    reference = handed(gold, True).withColumn("pred_id", F.explode("ids"))
+    kinds = sorted({x for _, ts in settings for x in ts})
+    iterators = list(dict.fromkeys(i for i, _ in settings))
+    ids = {i: ITERATORS[i]() for i in iterators}
+    none = F.array().cast("array<string>")
+    keys = [*by, "passage_key", "entity_type", *(["locations"] if end_to_end else []), "pred_id"]
+    of_type = F.col("entity_type").isin(kinds)
+    # the type is part of the key, so a setting is a sum over types: rows move once, and not for each setting
+    named = gold.filter(of_type).withColumns({f"_ids{n}": F.coalesce(ids[i], none) for n, i in enumerate(iterators)})
+    named = named.withColumn("pred_id", F.explode(F.array_distinct(F.concat(*[f"_ids{n}" for n in range(len(iterators))]))))
+    reference = named.select(*keys, *[F.when(F.array_contains(f"_ids{n}", F.col("pred_id")), 1).alias(f"_r{n}") for n in range(len(iterators))])
     # a prediction's place among those of its annotation is the same in every setting
-    kinds = sorted({x for _, t in settings for x in t})
-    predicted = surviving(ranked.filter(F.col("entity_type").isin(kinds)), threshold, (*by, "doc_idx", "passage_id", "ann_idx"))
-    return topk_metrics(reference, handed(predicted, not end_to_end), keys, each)
+    taken = ranked.filter(of_type).withColumns({f"_t{n}": F.lit(True) if end_to_end else ids[i].isNotNull() for n, i in enumerate(iterators)})
+    placed = surviving(taken, threshold, (*by, "doc_idx", "passage_id", "ann_idx"))
+    predicted = placed.select(*keys, *[F.when(F.col(f"_t{n}"), F.col("place")).alias(f"_p{n}") for n in range(len(iterators))])
+    rows = reference.unionByName(predicted, allowMissingColumns=True)
+    both = rows.groupBy(*keys).agg(*[f(f"{c}{n}").alias(f"{c}{n}") for n in range(len(iterators)) for f, c in ((F.max, "_r"), (F.min, "_p"))])
+    made = []
+    for n in range(len(iterators)):
+        any_, per = _found(f"_r{n}", f"_p{n}", (1, 5, 10))
+        made += [any_.alias(f"_any{n}"), per.alias(f"_k{n}")]
+    counted = both.groupBy(*by, "entity_type").agg(*made)  # a row a type
+    one = F.array(*[F.when(F.col("entity_type").isin(list(ts)), F.struct(F.lit(i).alias("iterator"), F.lit("+".join(ts)).alias("entity_types"), F.col(f"_any{iterators.index(i)}").alias("any"), F.col(f"_k{iterators.index(i)}").alias("ks"))) for i, ts in settings])
+    flat = counted.select(*by, F.explode(F.filter(one, lambda x: x.isNotNull())).alias("s")).filter("s.any > 0").select(*by, "s.iterator", "s.entity_types", F.explode("s.ks").alias("k"))
+    names = ("numerator", "precision_denominator", "recall_denominator")
+    return _scored(flat.groupBy(*by, "iterator", "entity_types", "k.topk").agg(*[F.sum(f"k.{c}").alias(c) for c in names]))
 
 
 def pivoted(rows: DataFrame, datasets: Sequence[str], value: str = "f1", row: str = "system", column: str = "dataset") -> DataFrame:

@@ -580,10 +580,14 @@ def _annotations(spark, sf_dir):
         F.col("l_orderkey").cast("string").alias("passage_key"), F.col("l_returnflag").alias("entity_type"), i.alias("identifier"), loc.alias("locations"),
         F.col("l_orderkey").alias("doc_idx"), F.col("l_linenumber").alias("passage_id"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("ann_idx"), "l_suppkey", "l_partkey",
     )
-    ranked = a.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    pid = F.when((F.col("l_partkey") + F.col("rank")) % 7 == 0, "-").otherwise(F.concat(F.lit("CL:"), ((F.col("l_suppkey") + F.col("rank") * F.col("l_partkey")) % 9).cast("string")))
-    score = F.when((F.col("l_suppkey") + F.col("rank")) % 5 == 0, "-0.5").when((F.col("l_suppkey") + F.col("rank")) % 5 == 1, "bad").otherwise("0.25")
-    return a, ranked.withColumns({"pred_id": pid, "score_text": score})
+
+    def candidate(rank: int):
+        k = F.lit(rank)
+        pid = F.when((F.col("l_partkey") + k) % 7 == 0, "-").otherwise(F.concat(F.lit("CL:"), ((F.col("l_suppkey") + k * F.col("l_partkey")) % 9).cast("string")))
+        score = F.when((F.col("l_suppkey") + k) % 5 == 0, "-0.5").when((F.col("l_suppkey") + k) % 5 == 1, "bad").otherwise("0.25")
+        return F.struct(k.alias("rank"), pid.alias("pred_id"), score.alias("score_text"))
+
+    return a, a.withColumn("candidates", F.array(*map(candidate, range(3))))
 
 
 def _topk_sql(pass_filter: str, ref_ids: str, types: str, e2e: bool) -> str:

@@ -158,6 +158,26 @@ def test_normalisation_worked_case(spark):
     assert (r.precision, r.recall, r.f1) == (0.5, 0.5, 0.5)
 
 
+def test_grid_moves_each_annotation_once(spark):
+    """Every setting equals `normalisation` alone, whether predictions are rows or candidates, and no row moves for each setting."""
+    r = random.Random(4)
+    kinds = ("cell_phenotype", "cell_hetero", "cell_type", "other")
+    some = ("CL:1", "CL:2", "CL:1;CL:3", "CL:2 (skos:related)", "None")
+    rows = [(f"p{r.randint(0, 9)}", r.choice(kinds), r.choice(some), [(r.randint(0, 3), 1)], 0, 0, n, [(k, r.choice(("CL:1", "CL:2", "CL:3", "-")), r.choice(("0.5", "-1", "x", None))) for k in range(3)]) for n in range(120)]
+    schema = "passage_key string, entity_type string, identifier string, locations array<struct<offset:int,length:int>>, doc_idx int, passage_id int, ann_idx int, candidates array<struct<rank:int,pred_id:string,score_text:string>>"
+    packed = spark.createDataFrame(rows, schema)
+    gold = packed.drop("candidates")
+    ranked = packed.select(*gold.columns, F.explode("candidates").alias("c")).select(*gold.columns, "c.*")
+    cols = ["topk", "numerator", "precision_denominator", "recall_denominator", "f1"]
+    for end_to_end in (False, True):
+        want = sorted((i, "+".join(t), *x) for i, t in E.GRID for x in E.normalisation(gold, ranked, i, t, end_to_end).select(*cols).collect())
+        for form in (ranked, packed):
+            got = E.grid(gold, form, E.GRID, end_to_end)
+            assert sorted(map(tuple, got.select("iterator", "entity_types", *cols).collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 0 and plan.count("Generate explode") + plan.count("Generate posexplode") == 4
+
+
 def test_macro(spark):
     rows = spark.createDataFrame([("a", "s", "NER", "exact", 1, 0.4, 0.4, 0.4), ("b", "s", "NER", "exact", 2, 0.8, 0.8, 0.8), (E.MACRO, "s", "NER", "exact", None, 9.0, 9.0, 9.0)], "dataset string, system string, task string, criterion string, tp int, precision double, recall double, f1 double")
     out = [r for r in E.with_macro(rows).collect() if r.dataset == E.MACRO]
