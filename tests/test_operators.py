@@ -215,6 +215,27 @@ def test_retrieval_in_blocks_equals_broadcast(spark, monkeypatch):
     assert key(L.retrieve(queries, terms, 7, block=25)) == whole and len(whole) == 210
 
 
+def test_best_of_groups_equal_a_full_sort():
+    rng = np.random.default_rng(5)
+    q, x = rng.standard_normal((7, 6)), np.repeat(rng.standard_normal((900, 6)), 3, axis=0)  # each term three times: ties
+    idx = rng.permutation(len(x))
+    row, terms, _ = L._top(q, x, idx, 10)
+    for i, s in enumerate(q @ x.T):
+        assert terms[row == i].tolist() == idx[np.lexsort((idx, -s))[:10]].tolist()
+
+
+def test_large_dictionaries_move_queries_only(spark, monkeypatch):
+    """Queries were copied for each block of terms, terms for each part of the queries, and the blocks' best merged."""
+    rows = spark.range(60).select(F.col("id").alias("query_idx"), F.array(F.sin("id"), F.cos("id")).alias("vector"))
+    monkeypatch.setattr(L, "BROADCAST_TERMS", 10)
+    monkeypatch.setattr(L, "PAIRS", 600)
+    got = L.retrieve(rows, rows.withColumnRenamed("query_idx", "term_idx"), 3, block=7)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    assert got.count() == 180 and got.filter("rank = 0 and query_idx = term_idx").count() == 60
+
+
 def test_rerank_score(spark):
     cand = spark.createDataFrame([(1, "C", 0, -0.1, "n", "smooth muscle cell", True)], "query_idx bigint, identifier string, prior int, embedding_score double, name string, preferred_label string, is_preferred boolean")
     concepts = spark.createDataFrame([("C", ["smooth muscle cell"], "smooth muscle cell")], "identifier string, names array<string>, preferred_label string")
