@@ -85,6 +85,17 @@ def test_overlaps_against_plain(spark):
     assert got == {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] < b[3] and b[2] < a[3]}
 
 
+def test_overlaps_of_spans_of_all_lengths(spark):
+    r = random.Random(10)
+    rows = [(s, i, a, a + r.choice((0, 1, 5, 63, 64, 300, 5_000, 70_000))) for s in range(3) for i in range(60) for a in [r.randint(-3_000, 90_000 if s else 400)]]
+    df = spark.createDataFrame(rows, "s int, idx int, start int, end int")
+    found = D.overlapping(df, ["s"])
+    assert sorted(map(tuple, found.collect())) == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] < b[3] and b[2] < a[3])
+    # a span of a billion buckets of the old width couldn't be filed at all
+    far = spark.createDataFrame([(0, 1, 5, 10**12), (0, 2, 7, 10**12), (0, 3, 9, 20)], "s int, idx int, start long, end long")
+    assert sorted(map(tuple, D.overlapping(far, ["s"]).collect())) == [(0, 1, 2), (0, 1, 3), (0, 2, 3)]
+
+
 def test_exact_metrics(spark):
     g = spark.createDataFrame([("A",), ("A",), ("B",)], "k string")
     p = spark.createDataFrame([("A",), ("A",), ("A",), ("C",)], "k string")
